@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mnemospark.operators import select, validate
-from mnemospark.operators.ordering import paged_collect
 from mnemospark.functions import text
 from mnemospark.sources import json_records, tables
 
@@ -440,18 +438,16 @@ def p14(spark, sf):
 
 @query(
     "P16_attribute_lookup",
-    with_tables(
-        "claims",
-        """, picked AS (SELECT entity_id, key, value_json, row_number() OVER (PARTITION BY entity_id, key ORDER BY seq) AS rn FROM claims)
-SELECT c.entity_id, p.value_json AS view_value FROM (SELECT DISTINCT entity_id FROM claims) c
-LEFT JOIN picked p ON p.entity_id = c.entity_id AND p.key = 'view' AND p.rn = 1""",
-    ),
+    """SELECT event_id, CASE WHEN event_type = 'view' THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)
+WHEN event_id % 2 = 0 THEN props END AS view_value FROM events""",
 )
 def p16(spark, sf):
-    c = bind(spark, sf, "claims")
-    pages = paged_collect(c, ["entity_id"], F.struct("seq", "key", "value_json"), "seq", name="attributes", page_size=1 << 20)
+    e = base(spark, sf, "events")
+    pair = lambda key, value: F.struct(key.alias("key"), value.alias("value_json"))
+    second = F.when(F.col("event_id") % 2 == 0, F.lit("view")).otherwise(F.lit("other"))
+    e = e.withColumn("attributes", F.array(pair(F.col("event_type"), F.floor("value").cast("string")), pair(second, F.col("props"))))
     value = select.attribute_lookup(F.col("attributes"), "view")["value_json"]
-    return pages.select("entity_id", value.alias("view_value"))
+    return e.select("event_id", value.alias("view_value"))
 
 
 @query("P17_role_filter", with_tables("turns", "SELECT turn_id, role FROM turns WHERE role IN ('user', 'assistant')"))
