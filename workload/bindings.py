@@ -81,7 +81,7 @@ FROM {events}""",
     ),
     "claims": (
         (),
-        """SELECT CAST(event_id * 2 AS BIGINT) AS seq, CAST(event_id AS BIGINT) AS card_seq,
+        """SELECT CAST(event_id AS BIGINT) AS seq, 0 AS place,
        'user:' || CAST(user_id AS STRING) AS entity_id, event_type AS key,
        CAST(CAST(floor(value / 10) AS BIGINT) AS STRING) AS value_json,
        't' || lpad(CAST(event_id AS STRING), 12, '0') AS turn_start,
@@ -89,7 +89,7 @@ FROM {events}""",
        CAST(event_id % 5 + 5 AS DOUBLE) / 10 AS confidence, 'q' || CAST(event_id % 3 AS STRING) AS quote
 FROM {events}
 UNION ALL
-SELECT CAST(event_id * 2 + 1 AS BIGINT), CAST(event_id AS BIGINT), 'user:' || CAST(user_id AS STRING), event_type,
+SELECT CAST(event_id AS BIGINT), 1, 'user:' || CAST(user_id AS STRING), event_type,
        CAST(CAST(floor(value / 10) AS BIGINT) + 1 AS STRING), 't' || lpad(CAST(event_id AS STRING), 12, '0'),
        't' || lpad(CAST(event_id AS STRING), 12, '0'), CAST(event_id % 4 + 6 AS DOUBLE) / 10,
        'r' || CAST(event_id % 3 AS STRING)

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import records, retrieval, scalars  # noqa: F401
+from . import ingest, records, retrieval, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

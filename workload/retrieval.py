@@ -39,7 +39,7 @@ tx AS (SELECT {id} AS tid, lower({body}) AS low FROM {texts}),
 pr AS (SELECT tid, name, reg, low FROM tx JOIN nm ON contains(low, name)),
 cut AS (SELECT tid, name, reg, low, unnest(p) AS part, generate_subscripts(p, 1) AS k, len(p) AS np FROM (
  SELECT *, string_split(low, name) AS p FROM pr)),
-oc AS (SELECT tid, name, reg, low, k, np, sum(length(part)) OVER (PARTITION BY tid, name ORDER BY k) + (k - 1) * length(name) + 1 AS pos FROM cut),
+oc AS (SELECT tid, name, reg, low, k, np, CAST(sum(length(part)) OVER (PARTITION BY tid, name ORDER BY k) AS BIGINT) + (k - 1) * length(name) + 1 AS pos FROM cut),
 hit AS (SELECT tid, name, reg, pos AS s, pos + length(name) AS e FROM oc WHERE k < np
  AND NOT regexp_matches(CASE WHEN pos = 1 THEN '' ELSE substring(low, pos - 1, 1) END, '[a-z0-9''-]')
  AND NOT regexp_matches(substring(low, pos + length(name), 1), '[a-z0-9''-]')),
