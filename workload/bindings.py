@@ -23,6 +23,23 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
        't' || lpad(CAST(conv_id AS STRING), 8, '0') || '-' || lpad(CAST(turn AS STRING), 4, '0') AS turn_id,
        role, text AS content, CAST(turn AS INT) AS turn_index FROM {conversations}""",
     ),
+    "log": (
+        (),
+        """SELECT conv_id AS session_id,
+       't' || lpad(CAST(conv_id AS STRING), 8, '0') || '-' || lpad(CAST(turn AS STRING), 4, '0') AS turn_id,
+       role, text AS content, CAST(turn AS INT) AS turn_index, turn < conv_id % 3 AS summarized FROM {conversations}""",
+    ),
+    "sessions": (
+        (),
+        """SELECT conv_id AS session_id, CAST(min(conv_id % 9) AS BIGINT) AS processed_count FROM {conversations}
+GROUP BY conv_id""",
+    ),
+    "cuts": (
+        (),
+        """SELECT conv_id AS session_id, CASE WHEN conv_id % 8 = 5 THEN 'unknown' ELSE
+       't' || lpad(CAST(conv_id AS STRING), 8, '0') || '-' || lpad(CAST(turn AS STRING), 4, '0') END AS turn_id
+FROM {conversations} WHERE turn = conv_id % 5 + 1 OR turn = conv_id % 3 + 2""",
+    ),
     "story": (
         (),
         """SELECT CAST(c_nationkey AS BIGINT) AS session_id, 's' || lpad(CAST(c_custkey AS STRING), 12, '0') AS turn_id,
