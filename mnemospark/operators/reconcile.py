@@ -54,52 +54,87 @@ def nest_anchors(table: DataFrame, proof: DataFrame, keys: list[str], page_size:
 
 @dataclass
 class Deduped:
-    """``assets``: one row per signature; ``evidence``: their anchors; ``firsts``: seq of the first witnesses."""
+    """``assets``: one row per signature; ``evidence``: their anchors."""
 
     assets: DataFrame
     evidence: DataFrame
 
 
-def dedup_atomic(arrivals: DataFrame) -> Deduped:
-    """One asset per (kind, network, viewpoint, normalised content, set of entity ids).
+#: Bookkeeping of a merged row, which lets it merge again with later ones.
+MERGE_COLUMNS = ("first_seq", "last_seq", "last_turn", "n_arrivals")
 
-    The first witness gives id, content and source. Each repeat adds 1 to the
-    relevance, sets the last updated turn and may raise the confidence.
+
+def merge_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Merge rows of one key: the earliest row's columns, with confidence, relevance and last update of all.
+
+    Rows carry ``MERGE_COLUMNS``. The merge is associative, so it serves arrivals
+    and the partial results of streaming batches alike.
     """
-    keyed = arrivals.withColumn("dedup_key", mention_key(arrivals))
-    p = F.col("provenance")
-    names = [c for c in arrivals.columns if c != "seq"]
-    merged = keyed.groupBy("dedup_key").agg(
-        F.min_by(F.struct("seq", *names), F.col("seq")).alias("_first"),
-        F.max_by(F.struct("seq", p["source_turn_id"].alias("turn")), F.col("seq")).alias("_last"),
-        F.max(p["confidence_score"]).alias("_score"),
-        F.sum("relevance").alias("_relevance"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    proof = evidence(
-        keyed.select("dedup_key", "seq", p["raw_quote_anchors"].alias("anchors")), ["dedup_key"]
+    names = [c for c in rows.columns if c not in (key, *MERGE_COLUMNS)]
+    score = F.col("provenance.confidence_score")
+    merged = rows.groupBy(key).agg(
+        F.min_by(F.struct("first_seq", "n_arrivals", *names), "first_seq").alias("_first"),
+        F.max_by(F.struct("last_seq", "last_turn"), "last_seq").alias("_last"),
+        F.max(score).alias("_score"),
+        F.sum("n_arrivals").alias("n_arrivals"),
     )
-    counts = proof.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("witness_count"))
-    first = F.col("_first")
-    cols = []
+    first, cols = F.col("_first"), []
     for name in names:
+        value = first[name]
         if name == "provenance":
-            cols.append(first["provenance"].withField("confidence_score", F.col("_score")).alias("provenance"))
+            value = value.withField("confidence_score", F.col("_score"))
         elif name == "relevance":
-            cols.append((first["relevance"] + F.col("_n") - 1).alias("relevance"))
+            value = value + F.col("n_arrivals") - first["n_arrivals"]
         elif name == "last_updated_turn":
-            moved = F.when(F.col("_n") > 1, F.col("_last.turn")).otherwise(first["last_updated_turn"])
-            cols.append(moved.alias("last_updated_turn"))
-        else:
-            cols.append(first[name].alias(name))
-    assets = merged.join(counts, "dedup_key", "left").select(
-        "dedup_key",
-        first["seq"].alias("first_seq"),
-        F.col("_last.seq").alias("last_seq"),
-        *cols,
-        F.coalesce("witness_count", F.lit(0)).alias("witness_count"),
+            value = F.when(F.col("n_arrivals") > 1, F.col("_last.last_turn")).otherwise(value)
+        cols.append(value.alias(name))
+    return merged.select(
+        key, *cols, first["first_seq"].alias("first_seq"), F.col("_last.last_seq").alias("last_seq"),
+        F.col("_last.last_turn").alias("last_turn"), "n_arrivals",
+    )
+
+
+def _single(arrivals: DataFrame) -> DataFrame:
+    """Arrivals as rows that stand for themselves alone."""
+    return arrivals.withColumnRenamed("seq", "first_seq").select(
+        "*",
+        F.col("first_seq").alias("last_seq"),
+        F.col("provenance.source_turn_id").alias("last_turn"),
+        F.lit(1).cast("bigint").alias("n_arrivals"),
+    )
+
+
+def with_witnesses(table: DataFrame, proof: DataFrame, key: str) -> DataFrame:
+    counts = proof.groupBy(key).agg(F.count(F.lit(1)).alias("witness_count"))
+    return table.join(counts, key, "left").withColumn("witness_count", F.coalesce("witness_count", F.lit(0)))
+
+
+def merge_evidence(proof: DataFrame, keys: list[str]) -> DataFrame:
+    """Evidence of several batches as one: the first span of every (turn, quote)."""
+    return (
+        proof.groupBy(*keys, "turn_id", "quote")
+        .agg(F.min(F.struct("first_seq", "char_start", "char_end")).alias("_f"))
+        .select(*keys, "turn_id", "quote", "_f.char_start", "_f.char_end", "_f.first_seq")
+    )
+
+
+def dedup_rows(arrivals: DataFrame) -> Deduped:
+    """As ``dedup_atomic``, without the witness counts."""
+    keyed = arrivals.withColumn("dedup_key", mention_key(arrivals))
+    anchors = F.col("provenance.raw_quote_anchors").alias("anchors")
+    return Deduped(
+        merge_rows(_single(keyed), "dedup_key"), evidence(keyed.select("dedup_key", "seq", anchors), ["dedup_key"])
     )
-    return Deduped(assets, proof)
+
+
+def dedup_atomic(arrivals: DataFrame) -> Deduped:
+    """One asset per (kind, network, viewpoint, normalised content, set of entity ids).
+
+    The first witness gives id, content and source. Each repeat adds 1 to the
+    relevance, sets the last updated turn and may raise the confidence.
+    """
+    d = dedup_rows(arrivals)
+    return Deduped(with_witnesses(d.assets, d.evidence, "dedup_key"), d.evidence)
 
 
 def atomic_outcomes(arrivals: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -419,70 +454,69 @@ def first_cards(cards: DataFrame) -> DataFrame:
     return cards.groupBy("entity_id").agg(F.min("seq").alias("seq"))
 
 
-def merge_entities(cards: DataFrame, chunk: int = CHUNK) -> MergedCards:
-    """One card per entity. The first witness gives id, name, type, network, content, summary and tags."""
-    p = F.col("provenance")
-    names = [c for c in cards.columns if c not in ("seq", "aliases", "attributes")]
-    merged = cards.groupBy("entity_id").agg(
-        F.min_by(F.struct("seq", *[c for c in names if c != "entity_id"]), F.col("seq")).alias("_first"),
-        F.max_by(F.struct("seq", p["source_turn_id"].alias("turn")), F.col("seq")).alias("_last"),
-        F.max(p["confidence_score"]).alias("_score"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    place = F.struct(F.col("seq"), F.col("_p"))
-    aliases = (
+def card_aliases(cards: DataFrame) -> DataFrame:
+    """(entity_id, alias, first_seq, first_place): each alias where it arrived first."""
+    return (
         cards.select("entity_id", "seq", F.posexplode("aliases").alias("_p", "alias"))
         .groupBy("entity_id", "alias")
-        .agg(F.min(place).alias("place"))
-        .select("entity_id", "alias", F.col("place.seq").alias("first_seq"), F.col("place._p").alias("first_place"))
+        .agg(F.min(F.struct("seq", "_p")).alias("_f"))
+        .select("entity_id", "alias", F.col("_f.seq").alias("first_seq"), F.col("_f._p").alias("first_place"))
     )
+
+
+def nest_aliases(cards: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Attach to each card its distinct aliases in order of arrival."""
     listed = aliases.groupBy("entity_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "first_place", "alias"))), lambda a: a["alias"]).alias("aliases")
-    )
-    proof = evidence(cards.select("entity_id", "seq", p["raw_quote_anchors"].alias("anchors")), ["entity_id"])
-    counts = proof.groupBy("entity_id").agg(F.count(F.lit(1)).alias("witness_count"))
-    first, cols = F.col("_first"), []
-    for name in names:
-        if name == "entity_id":
-            cols.append(F.col("entity_id"))
-        elif name == "provenance":
-            cols.append(first["provenance"].withField("confidence_score", F.col("_score")).alias("provenance"))
-        elif name == "relevance":
-            cols.append((first["relevance"] + F.col("_n") - 1).alias("relevance"))
-        elif name == "last_updated_turn":
-            cols.append(F.when(F.col("_n") > 1, F.col("_last.turn")).otherwise(first[name]).alias(name))
-        else:
-            cols.append(first[name].alias(name))
-    table = (
-        merged.join(listed, "entity_id", "left")
-        .join(counts, "entity_id", "left")
-        .select(
-            *cols,
-            F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"),
-            F.coalesce("witness_count", F.lit(0)).alias("witness_count"),
-            first["seq"].alias("first_seq"),
-        )
+        F.array_sort(F.collect_list(F.struct("first_seq", "first_place", "alias"))).alias("_l")
     )
+    names = F.transform("_l", lambda a: a["alias"])
+    rows = cards.join(listed, "entity_id", "left")
+    return rows.withColumn("aliases", F.coalesce(names, F.array().cast("array<string>"))).drop("_l")
+
+
+def card_rows(cards: DataFrame) -> DataFrame:
+    """Arriving cards merged per entity, without their lists."""
+    return merge_rows(_single(cards.drop("aliases", "attributes")), "entity_id")
+
+
+def merge_entities(cards: DataFrame, chunk: int = CHUNK) -> MergedCards:
+    """One card per entity. The first witness gives id, name, type, network, content, summary and tags."""
+    aliases = card_aliases(cards)
+    proof = evidence(cards.select("entity_id", "seq", F.col("provenance.raw_quote_anchors").alias("anchors")), ["entity_id"])
+    table = with_witnesses(nest_aliases(card_rows(cards), aliases), proof, "entity_id")
     # Four results read the changes.
     changes = settled(card_changes(cards, chunk))
     folded = changes.filter("change <> 'stored'")
     state = attribute_state(folded)
-    stored = changes.filter("change = 'stored'").select(
+    return MergedCards(
+        table, aliases, state.unionByName(stored_attributes(changes)), proof, attribute_evidence(folded, state), changes
+    )
+
+
+def stored_attributes(changes: DataFrame) -> DataFrame:
+    """Repeated keys of first cards, which are kept as they came."""
+    return changes.filter("change = 'stored'").select(
         F.col("seq").alias("state_seq"), F.col("place").alias("state_place"), "entity_id", "key", "value_json", "confidence",
         F.col("seq").alias("first_seq"), "source_turn_id", "turn_start",
     )
-    return MergedCards(
-        table, aliases, state.unionByName(stored), proof, attribute_evidence(folded, state), changes
-    )
 
 
-def card_changes(cards: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Attribute changes of arriving cards. A first card is stored as it is, so a key it repeats is not folded."""
+def card_changes(
+    cards: DataFrame, chunk: int = CHUNK, known: DataFrame | None = None, state: DataFrame | None = None
+) -> DataFrame:
+    """Attribute changes of arriving cards. A first card is stored as it is, so a key it repeats is not folded.
+
+    ``known`` (entity_id) names entities that have a card already, and ``state`` is
+    what their attributes hold; the fold goes on from there.
+    """
     claims = explode_claims(cards)
     repeated = claims.filter("repeated")
-    first = first_cards(cards).select("seq")
+    first = first_cards(cards)
+    if known is not None:
+        first = first.join(known.select("entity_id"), "entity_id", "left_anti")
+    first = first.select("seq")
     stored = repeated.join(first, "seq", "left_semi")
-    folded = claims.filter("NOT repeated").unionByName(repeated.join(first, "seq", "left_anti"))
+    folded = claims.filter("NOT repeated").unionByName(repeated.join(first, "seq", "left_anti")).select(*CLAIM)
     kept = stored.select(
         *CLAIM,
         F.lit("stored").alias("change"),
@@ -492,16 +526,30 @@ def card_changes(cards: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.col("place").alias("state_place"),
         F.col("confidence").alias("level"),
     )
-    return fold_attributes(folded, chunk).unionByName(kept)
+    if state is None:
+        return fold_attributes(folded, chunk).unionByName(kept)
+    touched = folded.select("entity_id", "key").distinct()
+    held = state.join(touched, ["entity_id", "key"], "left_semi").select(
+        "entity_id", "key", F.col("state_seq").alias("seq"), F.col("state_place").alias("place"), "value_json", "confidence",
+        "turn_start", "source_turn_id", F.lit(None).cast(folded.schema["anchors"].dataType).alias("anchors"),
+    )
+    changes = fold_attributes(folded.unionByName(held), chunk)
+    return changes.join(cards.select("seq"), "seq", "left_semi").select(*CLAIM, *CHANGE.fieldNames()).unionByName(kept)
 
 
-def card_outcomes(cards: DataFrame, changes: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(seq, id, outcome) per arriving card: created, state_changed, merged (new key or alias) or bumped."""
+def card_outcomes(cards: DataFrame, changes: DataFrame, aliases: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(seq, id, outcome) per arriving card: created, state_changed, merged (new key or alias) or bumped.
+
+    ``aliases`` are those that first arrived with these cards.
+    """
     marks = changes.groupBy("seq").agg(
         F.max(F.col("change") == "state_changed").alias("_flip"), F.max(F.col("change") == "added").alias("_new")
     )
     named = aliases.select(F.col("first_seq").alias("seq"), F.lit(True).alias("_alias")).distinct()
-    first = first_cards(cards).select("seq", F.lit(True).alias("_first"))
+    first = first_cards(cards)
+    if known is not None:
+        first = first.join(known.select("entity_id"), "entity_id", "left_anti")
+    first = first.select("seq", F.lit(True).alias("_first"))
     rows = cards.select("seq", "id").join(first, "seq", "left").join(marks, "seq", "left").join(named, "seq", "left")
     outcome = (
         F.when(F.col("_first"), "created")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import ingest, records, reflection, retrieval, scalars, transcripts  # noqa: F401
+from . import ingest, records, reflection, retrieval, scalars, streams, transcripts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
