@@ -221,7 +221,9 @@ def materialize(facts: DataFrame, confidence_source: str = "inferred") -> DataFr
 
 
 def mention_key(assets: DataFrame) -> Column:
-    """Signature under which mentions of a fact are counted."""
+    """Signature under which mentions of a fact are counted, taken from ``dedup_key`` where that is stored."""
+    if "dedup_key" in assets.columns:
+        return assets["dedup_key"]
     c = assets.__getitem__
     return F.md5(
         F.concat_ws(
@@ -247,6 +249,7 @@ def skepticism_gate(assets: DataFrame, skepticism: float, confidence: str = "pro
         return assets
     weak = assets.filter(F.col(confidence) < floor)
     early = top_per_key(weak.select(mention_key(weak).alias("_k"), "seq"), ["_k"], needed - 1, F.col("seq"))
+    # Only the held rows' numbers meet the assets again.
     return assets.join(early.select("seq"), "seq", "left_anti")
 
 

@@ -49,22 +49,27 @@ def mention_spans(texts: DataFrame, names: DataFrame, id: str = "id", text: str
         .select("name", "reg_seq", utf16_length("name").alias("name_len"), F.size(_pieces(F.col("name"))).alias("n_pieces"))
     )
     lengths = listed.agg(F.sort_array(F.collect_set("n_pieces")))
-    cut = texts.select(F.col(id).alias("id"), _pieces(F.col(text)).alias("_p"))
-    starts = cut.withColumn("_lengths", lengths.scalar()).select(
-        "id", "_p", "_lengths", F.explode(F.sequence(F.lit(1), F.size("_p"))).alias("start")
-    )
-    runs = starts.filter("size(_p) > 0").select("id", "_p", "start", F.explode("_lengths").alias("n_pieces"))
-    end = F.col("start") + F.col("n_pieces")
-    runs = runs.filter(end <= F.size("_p") + 1)
+    cut = texts.select(F.col(id).alias("id"), _pieces(F.col(text)).alias("_p")).withColumn("_n", lengths.scalar())
+    pieces = F.col("_p")
 
     def word_at(place: Column) -> Column:
-        return F.coalesce(F.get("_p", place - 1).rlike(WORD_PIECE), F.lit(False))
+        return F.coalesce(F.get(pieces, place - 1).rlike(WORD_PIECE), F.lit(False))
+
+    def run(start: Column, n: Column) -> Column:
+        end = start + n
+        free = (word_at(start) | ~word_at(start - 1)) & (word_at(end - 1) | ~word_at(end))
+        name = F.when(free, F.array_join(F.slice(pieces, start, n), ""))
+        return F.struct(start.alias("start"), n.alias("n_pieces"), name.alias("name"))
+
+    def all_runs(n: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(pieces) - n + 1)
+        return F.when(
+            F.size(pieces) >= n, F.filter(F.transform(starts, lambda s: run(s, n)), lambda r: r["name"].isNotNull())
+        )
 
-    free_left = word_at(F.col("start")) | ~word_at(F.col("start") - 1)
-    free_right = word_at(end - 1) | ~word_at(end)
-    runs = runs.filter(free_left & free_right).select(
-        "id", "start", "n_pieces", F.array_join(F.slice("_p", F.col("start"), F.col("n_pieces")), "").alias("name")
-    )
+    # The runs of a text are formed within its row; only they, and not its pieces, are exploded.
+    runs = cut.select("id", F.explode(F.flatten(F.filter(F.transform("_n", all_runs), lambda r: r.isNotNull()))).alias("_r"))
+    runs = runs.select("id", "_r.start", "_r.n_pieces", "_r.name")
     found = runs.join(listed, ["name", "n_pieces"])
     return _claim(found)
 

@@ -143,7 +143,7 @@ def atomic_outcomes(arrivals: DataFrame, known: DataFrame | None = None) -> Data
     Marks meet the arrivals by ``seq``. ``known`` lists signatures
     (``dedup_key``) already stored.
     """
-    keyed = arrivals.select("seq", "id", mention_key(arrivals).alias("dedup_key"))
+    keyed = settled(arrivals.select("seq", "id", mention_key(arrivals).alias("dedup_key")))
     firsts = keyed.groupBy("dedup_key").agg(F.min("seq").alias("seq"))
     if known is not None:
         firsts = firsts.join(known.select("dedup_key"), "dedup_key", "left_anti")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.scoring import boost_factor
 from ..functions.text import estimate_tokens, tokenize
+from .lineage import settled
 from .ordering import top_per_key
 
 # Defaults of the fusion recall.
@@ -51,8 +52,8 @@ def bm25_postings(docs: DataFrame, id: str = "id", text: str = "text", terms: Da
 
 
 def bm25_stats(docs: DataFrame, id: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The keyword index: (postings, document frequency per term, corpus totals)."""
-    postings = bm25_postings(docs, id, text)
+    """The keyword index: (postings, document frequency per term, corpus totals). The postings are written once."""
+    postings = settled(bm25_postings(docs, id, text))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     totals = bm25_docs(docs, id, text).agg(
         F.count(F.lit(1)).alias("n_docs"),

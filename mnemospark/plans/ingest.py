@@ -39,7 +39,9 @@ def arrivals_of(
     extractor = extractor or extract.pattern_extractor()
     read = extract.extract_once(turns, extractor) if share else extractor(turns)
     facts = extract.anchor_guard(extract.explode_facts(read), on_anchor_miss)
-    assets = extract.skepticism_gate(extract.materialize(facts, confidence_source), skepticism)
+    made = extract.materialize(facts, confidence_source)
+    made = made.withColumn("dedup_key", extract.mention_key(made))
+    assets = extract.skepticism_gate(made, skepticism)
     return extract.embed_lore(assets, embedder, embedding_model).withColumn(
         "target", route_target(F.col("kind"), F.col("entity_id"))
     )
@@ -52,9 +54,9 @@ TURN_CHUNK = reconcile.CHUNK * extract.FACT_PLACES
 def reconcile_arrivals(arrivals: DataFrame, chunk: int = TURN_CHUNK) -> Ingested:
     entity = ["entity_type", "canonical_name", "summary"]
     vector = ["embedding", "embedding_model"]
-    cards_in = arrivals.filter("target = 'entity'").drop("target", *vector)
+    cards_in = arrivals.filter("target = 'entity'").drop("target", "dedup_key", *vector)
     atomic_in = arrivals.filter("target = 'structured'").drop("target", "entity_id", "aliases", "attributes", *entity, *vector)
-    lore = arrivals.filter("target = 'vector'").drop("target", "entity_id", "aliases", "attributes", *entity)
+    lore = arrivals.filter("target = 'vector'").drop("target", "dedup_key", "entity_id", "aliases", "attributes", *entity)
     atomic = reconcile.dedup_atomic(atomic_in)
     cards = reconcile.merge_entities(cards_in, chunk)
     outcomes = (

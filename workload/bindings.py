@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -227,9 +228,30 @@ def _closure(names: tuple[str, ...]) -> list[str]:
     return out
 
 
-def _spark_sql(sql: str, sf_dir: str) -> str:
-    named = re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql)
-    return named.replace("LIST(", "array(")
+#: Columns by which a large text table is spread if it comes in few partitions.
+TEXT_TABLES = {"documents": "doc_id", "conversations": "text", "pages": "page_id"}
+
+
+def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A base table. A text table in fewer partitions than there are cores is spread over them.
+
+    With files enough to go round, as on a cluster, it is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if table in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, TEXT_TABLES[table])
+    return df
+
+
+def _spark_sql(spark: SparkSession, sql: str, sf_dir: str) -> str:
+    def view(match: re.Match) -> str:
+        table = match.group(1)
+        name = f"{table}_{zlib.crc32(sf_dir.encode())}"
+        base(spark, sf_dir, table).createOrReplaceTempView(name)
+        return name
+
+    return re.sub(r"\{(\w+)\}", view, sql).replace("LIST(", "array(")
 
 
 def _duck_sql(sql: str) -> str:
@@ -238,14 +260,10 @@ def _duck_sql(sql: str) -> str:
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A memory table as a DataFrame over the files of ``sf_dir``."""
-    parts = [f"{n} AS ({_spark_sql(BINDINGS[n][1], sf_dir)})" for n in _closure((name,))]
+    parts = [f"{n} AS ({_spark_sql(spark, BINDINGS[n][1], sf_dir)})" for n in _closure((name,))]
     return spark.sql(f"WITH {', '.join(parts)} SELECT * FROM {name}")
 
 
-def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def ctes(*names: str) -> str:
     """The same tables as a DuckDB ``WITH`` list (without the keyword)."""
     return reduce(lambda s, n: s + f"{n} AS ({_duck_sql(BINDINGS[n][1])}), ", _closure(names), "")
