@@ -11,9 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space class of the memory model's text normalisation.
-WHITE_SPACE = (
-    r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-)
+SPACES = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WHITE_SPACE = f"[{SPACES}]"
+INK = f"[^{SPACES}]+"
 # An ASCII word character, and the two ways to stand at a word edge.
 WORD = "[A-Za-z0-9_]"
 NOT_AFTER_WORD = f"(?<!{WORD})"
@@ -37,13 +37,16 @@ def trim_space(text: Column | str) -> Column:
 
 
 def tokenize(text: Column | str) -> Column:
-    """Lower-cased runs of letters, digits and apostrophes."""
-    return F.filter(F.split(F.lower(_col(text)), "[^a-z0-9']+"), lambda t: t != "")
+    """Lower-cased runs of letters, digits and apostrophes.
+
+    Extracting the runs is several times faster in Spark than splitting at what lies between.
+    """
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9']+"), F.lit(0))
 
 
 def normalize(text: Column | str) -> Column:
     """Trimmed, lower-cased, white space runs as one space."""
-    return F.regexp_replace(F.lower(trim_space(text)), f"{WHITE_SPACE}+", " ")
+    return F.array_join(F.regexp_extract_all(F.lower(_col(text)), F.lit(INK), F.lit(0)), " ")
 
 
 def utf16_length(text: Column | str) -> Column:

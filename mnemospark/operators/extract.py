@@ -138,8 +138,9 @@ def extract_once(turns: DataFrame, extractor: Callable[[DataFrame], DataFrame])
 
 def explode_facts(turns: DataFrame) -> DataFrame:
     """One row per fact: turn columns, ``position``, ``seq`` and ``fact``."""
-    rows = turns.select(*[c for c in turns.columns if c != "facts"], F.posexplode("facts").alias("position", "fact"))
-    return rows.withColumn("seq", F.col("turn_seq") * FACT_PLACES + F.col("position"))
+    # Outer, as an inner explode makes Spark match all patterns a second time in a filter below it.
+    rows = turns.select(*[c for c in turns.columns if c != "facts"], F.posexplode_outer("facts").alias("position", "fact"))
+    return rows.filter("fact IS NOT NULL").withColumn("seq", F.col("turn_seq") * FACT_PLACES + F.col("position"))
 
 
 def anchor_guard(facts: DataFrame, mode: str = "throw") -> DataFrame:

@@ -16,7 +16,12 @@ from ..functions.text import utf16_length
 from .ordering import first_per_key
 
 PIECE = "[a-z0-9'-]+|[^a-z0-9'-]"
-WORD_PIECE = "^[a-z0-9'-]"
+
+
+def _is_word(piece: Column) -> Column:
+    """Two word pieces never touch, so a run that begins and ends with one is bounded by itself."""
+    code = F.ascii(piece)
+    return code.between(97, 122) | code.between(48, 57) | code.isin(39, 45)
 
 
 def _pieces(text: Column) -> Column:
@@ -48,28 +53,35 @@ def mention_spans(texts: DataFrame, names: DataFrame, id: str = "id", text: str
         .filter("name <> ''")
         .select("name", "reg_seq", utf16_length("name").alias("name_len"), F.size(_pieces(F.col("name"))).alias("n_pieces"))
     )
-    lengths = listed.agg(F.sort_array(F.collect_set("n_pieces")))
-    cut = texts.select(F.col(id).alias("id"), _pieces(F.col(text)).alias("_p")).withColumn("_n", lengths.scalar())
+    shape = listed.agg(
+        F.struct(
+            F.sort_array(F.collect_set("n_pieces")).alias("lengths"),
+            F.coalesce(F.max("n_pieces"), F.lit(0)).alias("longest"),
+            F.coalesce(F.max(~_is_word(F.substring("name", 1, 1))), F.lit(False)).alias("odd"),
+        )
+    )
+    cut = texts.select(F.col(id).alias("id"), _pieces(F.col(text)).alias("_p"), shape.scalar().alias("_s"))
     pieces = F.col("_p")
 
-    def word_at(place: Column) -> Column:
-        return F.coalesce(F.get(pieces, place - 1).rlike(WORD_PIECE), F.lit(False))
-
-    def run(start: Column, n: Column) -> Column:
-        end = start + n
-        free = (word_at(start) | ~word_at(start - 1)) & (word_at(end - 1) | ~word_at(end))
-        name = F.when(free, F.array_join(F.slice(pieces, start, n), ""))
-        return F.struct(start.alias("start"), n.alias("n_pieces"), name.alias("name"))
-
-    def all_runs(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(pieces) - n + 1)
-        return F.when(
-            F.size(pieces) >= n, F.filter(F.transform(starts, lambda s: run(s, n)), lambda r: r["name"].isNotNull())
+    def from_here(piece: Column, at: Column) -> Column:
+        place = F.struct(
+            (at + 1).alias("start"), F.slice(pieces, at + 1, F.col("_s.longest") + 1).alias("tail"), F.get(pieces, at - 1).alias("before")
         )
+        return F.when(_is_word(piece) | F.col("_s.odd"), place)
 
-    # The runs of a text are formed within its row; only they, and not its pieces, are exploded.
-    runs = cut.select("id", F.explode(F.flatten(F.filter(F.transform("_n", all_runs), lambda r: r.isNotNull()))).alias("_r"))
-    runs = runs.select("id", "_r.start", "_r.n_pieces", "_r.name")
+    # A row per place where a name may begin, with the few pieces that follow it; the text stays behind.
+    places = F.filter(F.transform("_p", from_here), lambda x: x.isNotNull())
+    # Outer, so that no filter on the list is formed below, which would build it twice.
+    begun = cut.select("id", "_s.lengths", F.explode_outer(places).alias("_b")).filter("_b IS NOT NULL").select(
+        "id", "_b.start", "_b.tail", "_b.before", F.explode("lengths").alias("n_pieces")
+    )
+    n = F.col("n_pieces")
+    at = lambda i: F.get("tail", i)
+    free_left = _is_word(at(F.lit(0))) | ~F.coalesce(_is_word(F.col("before")), F.lit(False))
+    free_right = _is_word(at(n - 1)) | ~F.coalesce(_is_word(at(n)), F.lit(False))
+    runs = begun.filter((n <= F.size("tail")) & free_left & free_right).select(
+        "id", "start", "n_pieces", F.array_join(F.slice("tail", F.lit(1), n), "").alias("name")
+    )
     found = runs.join(listed, ["name", "n_pieces"])
     return _claim(found)
 

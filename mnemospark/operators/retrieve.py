@@ -45,7 +45,9 @@ def bm25_postings(docs: DataFrame, id: str = "id", text: str = "text", terms: Da
     them to distinct (term, document) pairs before the shuffle.
     """
     tokens = docs.select(F.col(id).alias("id"), tokenize(text).alias("_t"))
-    rows = tokens.select("id", F.size("_t").cast("bigint").alias("doc_len"), F.explode("_t").alias("term"))
+    # An outer explode: for an inner one Spark adds a filter that tokenizes every text once more.
+    rows = tokens.select("id", F.size("_t").cast("bigint").alias("doc_len"), F.explode_outer("_t").alias("term"))
+    rows = rows.filter("term IS NOT NULL")
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
     return rows.groupBy("term", "id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
@@ -66,7 +68,8 @@ def bm25_stats(docs: DataFrame, id: str = "id", text: str = "text") -> tuple[Dat
 def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
     """(query_id, term, times): a repeated query term counts again."""
     return (
-        queries.select("query_id", F.explode(tokenize(query)).alias("term"))
+        queries.select("query_id", F.explode_outer(tokenize(query)).alias("term"))
+        .filter("term IS NOT NULL")
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("times"))
     )
@@ -81,11 +84,13 @@ def bm25_search(
     k1: float = BM25_K1,
     b: float = BM25_B,
 ) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` best documents of every query."""
+    """(query_id, id, score, rank): the ``k`` best documents of every query.
+
+    The postings of the queries' terms are written once; document frequencies and scores read them.
+    """
     wanted = query_terms(queries)
-    matched = bm25_postings(docs, id, text, wanted.select("term").distinct())
-    # The sum reads ``tf`` so that both readers of the postings share one shuffle.
-    df = matched.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
+    matched = settled(bm25_postings(docs, id, text, wanted.select("term").distinct()))
+    df = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     totals = bm25_docs(docs, id, text).agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")))
     return bm25_rank(matched, df, wanted, totals.scalar(), k, k1, b)
 

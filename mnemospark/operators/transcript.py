@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    WHITE_SPACE,
+    INK,
     capitalized_tokens,
     estimate_tokens,
     stable_id,
@@ -265,7 +265,7 @@ def mark_summarized(turns: DataFrame, windows: DataFrame) -> DataFrame:
 def valid_summary(text: Column, turns: Column, max_words: int = MAX_WORDS) -> Column:
     """Whether a candidate is not empty, not too long, and names a capitalised word of its turns (if they have any)."""
     body = trim_space(F.coalesce(text, F.lit("")))
-    words = F.size(F.filter(F.split(body, f"{WHITE_SPACE}+"), lambda w: w != ""))
+    words = F.regexp_count(body, F.lit(INK))
     names = F.flatten(F.transform(turns, lambda t: capitalized_tokens(t["content"])))
     named = (F.size(names) == 0) | F.exists(names, lambda n: F.contains(body, n))
     return (body != "") & (words <= max_words) & named
