@@ -11,23 +11,45 @@ from pyspark.sql import functions as F
 from .ordering import PAGE, paged_collect
 
 
+#: Entities of one asset that are paired in one task.
+BLOCK = 1_000
+
+
 def asset_mentions(assets: DataFrame) -> DataFrame:
     return assets.select(F.col("id").alias("asset_id"), F.explode("entity_ids").alias("entity_id"), "content")
 
 
-def cooccurrence_join(mentions: DataFrame, cards: DataFrame) -> DataFrame:
+def cooccurrence_join(mentions: DataFrame, cards: DataFrame, block: int = BLOCK) -> DataFrame:
     """(src, dst, asset_id, content): pairs of known entities within one asset, src before dst.
 
-    The ids of one asset, which arrive in one row of the asset table, are
-    brought together again, and each pairs with those after it.
+    The entities of an asset are brought together and each pairs with those
+    after it. An asset that names very many is first cut into blocks, and every two
+    blocks, and each with itself, are paired by themselves.
     """
     known = mentions.join(cards.select("entity_id").distinct(), "entity_id", "left_semi")
-    listed = known.groupBy("asset_id").agg(
-        F.sort_array(F.collect_set("entity_id")).alias("_ids"), F.first("content").alias("content")
+    large = (
+        known.groupBy("asset_id")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > block)
+        .select("asset_id", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    )
+    placed = known.join(large, "asset_id", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int")
+    cells = placed.select(
+        "asset_id", "content", "entity_id", own.alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_o")
+    ).select("asset_id", "content", "entity_id", "_b", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"))
+    listed = cells.groupBy("asset_id", "_lo", "_hi").agg(
+        F.sort_array(F.collect_set(F.struct("entity_id", "_b"))).alias("_ids"), F.first("content").alias("content")
+    )
+    each = listed.filter(F.size("_ids") > 1).select(
+        "asset_id", "content", "_lo", "_hi", "_ids", F.posexplode("_ids").alias("_i", "_x")
     )
-    each = listed.filter(F.size("_ids") > 1).select("asset_id", "content", "_ids", F.posexplode("_ids").alias("_i", "src"))
     rest = F.slice("_ids", F.col("_i") + 2, F.size("_ids"))
-    return each.select("src", F.explode(rest).alias("dst"), "asset_id", "content")
+    pairs = each.select("asset_id", "content", "_lo", "_hi", "_x", F.explode(rest).alias("_y"))
+    crossing = (F.col("_lo") == F.col("_hi")) | (F.col("_x._b") != F.col("_y._b"))
+    return pairs.filter(crossing).select(
+        F.col("_x.entity_id").alias("src"), F.col("_y.entity_id").alias("dst"), "asset_id", "content"
+    )
 
 
 def graph_edges(pairs: DataFrame, page_size: int = PAGE) -> DataFrame:

@@ -440,7 +440,7 @@ def attribute_evidence(changes: DataFrame, state: DataFrame) -> DataFrame:
 
 @dataclass
 class MergedCards:
-    """``cards`` with aliases; ``aliases`` and ``attributes`` as tables; evidence of cards and of attributes; all changes."""
+    """``cards`` with (a page of) their aliases; ``aliases`` and ``attributes`` as tables; evidence of cards and of attributes; all changes."""
 
     cards: DataFrame
     aliases: DataFrame
@@ -464,14 +464,18 @@ def card_aliases(cards: DataFrame) -> DataFrame:
     )
 
 
-def nest_aliases(cards: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Attach to each card its distinct aliases in order of arrival."""
-    listed = aliases.groupBy("entity_id").agg(
-        F.array_sort(F.collect_list(F.struct("first_seq", "first_place", "alias"))).alias("_l")
+def nest_aliases(cards: DataFrame, aliases: DataFrame, page_size: int = PAGE) -> DataFrame:
+    """Attach to each card its distinct aliases in order of arrival.
+
+    A card is one row, page 0; only one with over ``page_size`` aliases is given once per page of them.
+    """
+    listed = paged_collect(
+        aliases, ["entity_id"], F.struct("first_seq", "first_place", "alias"), "alias", page_size, "_l"
     )
     names = F.transform("_l", lambda a: a["alias"])
     rows = cards.join(listed, "entity_id", "left")
-    return rows.withColumn("aliases", F.coalesce(names, F.array().cast("array<string>"))).drop("_l")
+    rows = rows.withColumn("aliases", F.coalesce(names, F.array().cast("array<string>"))).drop("_l")
+    return rows.withColumn("page", F.coalesce("page", F.lit(0)))
 
 
 def card_rows(cards: DataFrame) -> DataFrame:

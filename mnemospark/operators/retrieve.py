@@ -28,6 +28,7 @@ BM25_B = 0.75
 CHANNELS = ("vector", "bm25", "entity", "chronological")
 SCORE_DIGITS = 9
 VECTOR_DIGITS = 12
+QUERY_STEP = 64
 
 
 # --- keyword channel ---------------------------------------------------------
@@ -136,16 +137,19 @@ def _best_of_slice(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFram
         left, right = _matrix(lore["vector"]), _matrix(queries["vector"])
         if left.shape[1] != right.shape[1]:
             raise ValueError(f"query embedding dim {right.shape[1]} does not match store dim {left.shape[1]}")
-        sizes = np.outer(np.sqrt((left * left).sum(axis=1)), np.sqrt((right * right).sum(axis=1)))
-        scores = np.divide(left @ right.T, sizes, out=np.zeros_like(sizes), where=sizes > 0)
-        scores = np.round(scores, VECTOR_DIGITS)
-        keep = min(k, len(lore))
-        edge = np.partition(scores, len(lore) - keep, axis=0)[len(lore) - keep]
-        ids, out = lore["id"].to_numpy(), []
-        for j, query_id in enumerate(queries["query_id"].to_numpy()):
-            near = np.flatnonzero(scores[:, j] >= edge[j])
-            near = near[np.argsort(-scores[near, j], kind="stable")][:keep]
-            out.append(pd.DataFrame({"query_id": query_id, "id": ids[near], "score": scores[near, j]}))
+        left_norms, right_norms = np.sqrt((left * left).sum(axis=1)), np.sqrt((right * right).sum(axis=1))
+        keep, ids, names, out = min(k, len(lore)), lore["id"].to_numpy(), queries["query_id"].to_numpy(), []
+        # A few queries at a time, so that the scores held at once stay small.
+        for begin in range(0, len(queries), QUERY_STEP):
+            part = slice(begin, begin + QUERY_STEP)
+            sizes = np.outer(left_norms, right_norms[part])
+            scores = np.divide(left @ right[part].T, sizes, out=np.zeros_like(sizes), where=sizes > 0)
+            scores = np.round(scores, VECTOR_DIGITS)
+            edge = np.partition(scores, len(lore) - keep, axis=0)[len(lore) - keep]
+            for j, query_id in enumerate(names[part]):
+                near = np.flatnonzero(scores[:, j] >= edge[j])
+                near = near[np.argsort(-scores[near, j], kind="stable")][:keep]
+                out.append(pd.DataFrame({"query_id": query_id, "id": ids[near], "score": scores[near, j]}))
         return pd.concat(out, ignore_index=True)
 
     return best
@@ -157,7 +161,7 @@ def vector_topk(
     k: int = CHANNEL_TOP_K,
     vector: str = "embedding",
     slice_rows: int = 50_000,
-    block_rows: int = 1_000,
+    block_rows: int = 4_000,
 ) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top-k of every query vector.
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import indexable_text
-from ..operators import mentions, reconcile, retrieve
+from ..functions.text import index_value, tokenize
+from ..operators import reconcile, retrieve
 from ..operators.lineage import settled
 from ..operators.ordering import first_per_key
 from ..operators.validate import network_matrix
@@ -169,30 +169,41 @@ class DedupSink:
         self.outcomes.write(told.unionByName(lore.select("seq", "id", F.lit("created").alias("outcome"))), batch_id)
         return self.outcomes.batch(batch_id)
 
-    def touched(self, batch_id: int) -> DataFrame:
-        """Assets, cards and lore that a batch wrote, as they stand after it."""
+    def touched(self, batch_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What a batch changed, as it stands after it: (assets, text fragments, names).
+
+        assets: id, recency_key. fragments: id, text, whose tokens together are the
+        asset's searchable text. names: id, entity_id, name, reg_seq.
+        """
         upto = batch_id + 1
+        key = retrieve.recency_key(F.col("last_updated_turn"), F.col("provenance.source_turn_id")).alias("recency_key")
         keys = self.assets.batch(batch_id).select("dedup_key")
         atomic = reconcile.merge_rows(
             self.assets.read(upto).drop("batch_id").join(keys, "dedup_key", "left_semi"), "dedup_key"
+        ).select("id", "content", key)
+        lore = self.lore.batch(batch_id).select("id", "content", key)
+        plain = settled(atomic.unionAll(lore))
+        entities = self.cards.batch(batch_id).select("entity_id")
+        semi = lambda df: df.join(entities, "entity_id", "left_semi")
+        cards = settled(
+            reconcile.merge_rows(semi(self.cards.read(upto).drop("batch_id")), "entity_id").select(
+                "entity_id", "id", "entity_type", "canonical_name", "content", "summary", "first_seq", key
+            )
         )
-        ids = self.cards.batch(batch_id).select("entity_id")
-        semi = lambda df: df.join(ids, "entity_id", "left_semi")
-        cards = reconcile.nest_aliases(
-            reconcile.merge_rows(semi(self.cards.read(upto).drop("batch_id")), "entity_id"), semi(self.current_aliases(upto))
-        )
-        held = semi(self.current_states(upto)).unionByName(
-            semi(self.stored.read(upto)).select(*[f.name for f in STATE])
+        owner = cards.select("entity_id", "id")
+        aliases = semi(self.current_aliases(upto)).join(owner, "entity_id").select("id", "entity_id", F.col("alias").alias("text"))
+        held = semi(self.current_states(upto)).select("entity_id", "key", "value_json").unionByName(
+            semi(self.stored.read(upto)).select("entity_id", "key", "value_json")
         )
-        attributes = held.groupBy("entity_id").agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("first_seq", "state_place", "key", "value_json"))),
-                lambda a: F.struct(a["key"].alias("key"), a["value_json"].alias("value_json")),
-            ).alias("attributes")
+        lines = held.join(owner, "entity_id").select("id", F.concat("key", F.lit(": "), index_value("value_json")).alias("text"))
+        fixed = cards.select("id", F.explode(F.array("canonical_name", "entity_type", "content", "summary")).alias("text"))
+        fragments = (
+            plain.select("id", F.col("content").alias("text")).unionAll(fixed).unionAll(aliases.select("id", "text")).unionAll(lines)
         )
-        cards = cards.join(attributes, "entity_id", "left")
-        lore = self.lore.batch(batch_id).drop("batch_id").withColumnRenamed("seq", "first_seq")
-        return atomic.unionByName(cards, allowMissingColumns=True).unionByName(lore, allowMissingColumns=True)
+        order = cards.select("entity_id", F.col("first_seq").alias("reg_seq"))
+        names = cards.select("id", "entity_id", F.col("canonical_name").alias("text")).unionAll(aliases)
+        names = names.select("id", "entity_id", F.lower("text").alias("name")).filter("name <> ''").distinct().join(order, "entity_id")
+        return plain.select("id", "recency_key").unionAll(cards.select("id", "recency_key")), fragments, names
 
 
 class SearchIndex:
@@ -204,19 +215,36 @@ class SearchIndex:
         self.postings = log("index_postings", ("term", S), ("id", S), ("doc_len", L), ("tf", L))
         self.names = log("index_names", ("id", S), ("entity_id", S), ("name", S), ("reg_seq", L))
 
-    def add(self, assets: DataFrame, batch_id: int, deleted: DataFrame | None = None) -> None:
-        """Index assets (id, body, recency_key and, for cards, entity_id, canonical_name, aliases, seq)."""
-        rows = settled(assets)
-        docs = retrieve.bm25_docs(rows, text="body").join(rows.select("id", "recency_key"), "id")
-        docs = docs.withColumn("deleted", F.lit(False))
+    def add(
+        self,
+        assets: DataFrame,
+        fragments: DataFrame,
+        batch_id: int,
+        names: DataFrame | None = None,
+        deleted: DataFrame | None = None,
+    ) -> None:
+        """Index assets (id, recency_key) by the tokens of their text fragments (id, text), and drop deleted ids.
+
+        The text of an asset may come in any number of fragments, so that a card
+        with very many names or attributes need not be put together.
+        """
+        counted = settled(
+            fragments.select("id", F.explode_outer(tokenize("text")).alias("term"))
+            .filter("term IS NOT NULL")
+            .groupBy("id", "term")
+            .agg(F.count(F.lit(1)).alias("tf"))
+        )
+        sizes = counted.groupBy("id").agg(F.sum("tf").alias("doc_len"))
+        docs = assets.join(sizes, "id", "left").select(
+            "id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"), "recency_key", F.lit(False).alias("deleted")
+        )
         if deleted is not None:
             gone = deleted.select("id", F.lit(0).cast("bigint"), F.lit(None).cast("string"), F.lit(True))
             docs = docs.unionAll(gone)
         self.docs.write(docs, batch_id)
-        self.postings.write(retrieve.bm25_postings(rows, text="body"), batch_id)
-        if "canonical_name" in rows.columns:
-            cards = rows.filter("entity_id IS NOT NULL")
-            self.names.write(mentions.name_index(cards).join(cards.select("entity_id", "id"), "entity_id"), batch_id)
+        self.postings.write(counted.join(sizes, "id"), batch_id)
+        if names is not None:
+            self.names.write(names, batch_id)
 
     def _latest(self) -> DataFrame:
         rows = first_per_key(self.docs.read(), ["id"], F.col("batch_id").desc())
@@ -248,16 +276,8 @@ class IndexingSink:
 
     def __call__(self, arrivals: DataFrame, batch_id: int) -> DataFrame:
         outcomes = self.inner(arrivals, batch_id)
-        rows = self.inner.touched(batch_id)
-        c = rows.__getitem__
-        body = indexable_text(
-            c("kind"), c("content"), c("entity_id"), c("canonical_name"), c("aliases"), c("entity_type"), c("summary"), c("attributes")
-        )
-        key = retrieve.recency_key(F.col("last_updated_turn"), F.col("provenance.source_turn_id"))
-        self.index.add(
-            rows.select("id", body.alias("body"), key.alias("recency_key"), "entity_id", "canonical_name", "aliases", F.col("first_seq").alias("seq")),
-            batch_id,
-        )
+        assets, fragments, names = self.inner.touched(batch_id)
+        self.index.add(assets, fragments, batch_id, names)
         return outcomes
 
 

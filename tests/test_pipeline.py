@@ -66,6 +66,22 @@ def test_retried_batch_counts_once(spark, tmp_path):
     assert (state["value_json"], state["source_turn_id"]) == ('"wolf"', "t0001")
 
 
+def test_index_follows_the_merged_cards(spark, tmp_path):
+    index = sinks.SearchIndex(spark, str(tmp_path / "index"))
+    sink = sinks.IndexingSink(sinks.DedupSink(spark, str(tmp_path / "store")), index)
+    sink(ingest.arrivals_of(turn_table(spark, "Mojo is a dog. Mojo is at Docks."), embedder=vector.hash_embedder()), 0)
+    sink(ingest.arrivals_of(turn_table(spark, "-", "Mojo is a wolf."), embedder=vector.hash_embedder()), 1)
+    q = spark.createDataFrame([(1, "wolf"), (2, "docks"), (3, "dog")], "query_id INT, query STRING")
+    hits = {}
+    for r in index.search(q).collect():
+        hits.setdefault(r["query_id"], set()).add(r["id"])
+    card = sink.inner.current_cards().first()["id"]
+    # The card keeps its first type and content; its attribute has become "wolf".
+    assert hits[1] == {card} and hits[3] == {card} and len(hits[2]) == 1 and hits[2] != {card}
+    assert [(r["name"], r["entity_id"]) for r in index.current_names().collect()] == [("mojo", "char:mojo")]
+    assert index.current_docs().count() == 2
+
+
 def test_gate_keeps_counts_across_batches(spark, tmp_path):
     gate = turns.StreamGate(spark, str(tmp_path), 0.8)  # floor 0.48, four mentions
     def weak(*seqs):
@@ -101,8 +117,10 @@ def test_graph(spark):
         "asset_id STRING, entity_id STRING, content STRING",
     )
     cards = spark.createDataFrame([(e,) for e in ("alice", "bob", "a", "b", "c")], "entity_id STRING")
-    edges = {(r["src"], r["dst"]): r["reasons"] for r in graph.graph_edges(graph.cooccurrence_join(m, cards)).collect()}
-    assert edges == {("alice", "bob"): ["One.", "Two."], ("a", "b"): ["T"], ("a", "c"): ["T"], ("b", "c"): ["T"]}
+    want = {("alice", "bob"): ["One.", "Two."], ("a", "b"): ["T"], ("a", "c"): ["T"], ("b", "c"): ["T"]}
+    for block in (1, 2, 1000):
+        pairs = graph.cooccurrence_join(m, cards, block)
+        assert {(r["src"], r["dst"]): r["reasons"] for r in graph.graph_edges(pairs).collect()} == want
 
 
 def test_remember(spark):

@@ -137,16 +137,17 @@ def summary_rows(spark, sf):
 
 @query(
     "R12_anchor_sort",
-    with_tables("turns", """ SELECT session_id, string_agg(turn_id, ',' ORDER BY CASE WHEN turn_index = 1 THEN 0 ELSE 1 END, turn_id) AS anchors FROM turns GROUP BY 1"""),
+    with_tables("turns", """ SELECT session_id, turn_index // 4 AS block, string_agg(turn_id, ',' ORDER BY CASE WHEN turn_index % 4 = 2 THEN 0 ELSE 1 END, turn_id) AS anchors FROM turns GROUP BY 1, 2"""),
 )
 def r12(spark, sf):
-    t = bind(spark, sf, "turns").groupBy("session_id").agg(
+    turns = bind(spark, sf, "turns").withColumn("block", F.floor(F.col("turn_index") / 4).cast("int"))
+    t = turns.groupBy("session_id", "block").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("turn_index")).alias("o"), "turn_id", "turn_index"))).alias("a")
     )
-    source = F.filter("a", lambda x: x["turn_index"] == 1)
+    source = F.filter("a", lambda x: x["turn_index"] % 4 == 2)
     src = F.coalesce(F.get(source, F.lit(0))["turn_id"], F.lit(""))
     ordered = F.transform(explain.anchor_sort(F.col("a"), src), lambda x: x["turn_id"])
-    return t.select("session_id", F.array_join(ordered, ",").alias("anchors"))
+    return t.select("session_id", "block", F.array_join(ordered, ",").alias("anchors"))
 
 
 @query(

@@ -282,9 +282,9 @@ def r10(spark, sf):
 
 
 def context_inputs(spark, sf):
-    """Summaries of a third of the turns, and one query per benchmark text in some session."""
+    """A summary per turn, and one query per benchmark text in some session."""
     t = bind(spark, sf, "turns")
-    summaries = t.filter("turn_index % 3 = 1").select(
+    summaries = t.select(
         F.concat(F.lit("sum:"), "turn_id").alias("id"),
         F.when(F.col("turn_index") % 2 == 1, F.col("turn_id")).alias("turn_end"),
         F.when(F.col("session_id") % 10 == 3, F.lit("gone")).otherwise(F.col("turn_id")).alias("source_turn_id"),
@@ -296,7 +296,7 @@ def context_inputs(spark, sf):
 
 
 SUMMARY_CTES = """, sm AS (SELECT 'sum:' || turn_id AS id, CASE WHEN turn_index % 2 = 1 THEN turn_id
- WHEN session_id % 10 = 3 THEN 'gone' ELSE turn_id END AS at, ' so far ' || substring(content, 1, 60) AS content FROM turns WHERE turn_index % 3 = 1),
+ WHEN session_id % 10 = 3 THEN 'gone' ELSE turn_id END AS at, ' so far ' || substring(content, 1, 60) AS content FROM turns),
 pl AS (SELECT sm.id, sm.content, t.session_id, t.turn_index AS pos FROM sm JOIN turns t ON t.turn_id = sm.at),
 last3 AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos, id) AS place FROM (
  SELECT * FROM pl QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC, id DESC) <= 3))"""

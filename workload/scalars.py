@@ -161,16 +161,16 @@ def f9(spark, sf):
         "turns",
         f""", h AS (SELECT *, regexp_extract(regexp_replace(content, '^{WS}+|{WS}+$', '', 'g'), '^[a-zA-Z0-9_'']+', 0) AS w
 FROM turns)
-SELECT session_id, '[' || min_by(turn_id, turn_index) || '..' || max_by(turn_id, turn_index) || '] ' || count(*) ||
+SELECT session_id, turn_index // 6 AS block, '[' || min_by(turn_id, turn_index) || '..' || max_by(turn_id, turn_index) || '] ' || count(*) ||
  CASE WHEN count(*) = 1 THEN ' turn: ' ELSE ' turns: ' END ||
  coalesce(string_agg(w, ', ' ORDER BY turn_index) FILTER (WHERE w <> ''), '') AS summary
-FROM h WHERE turn_index < 6 GROUP BY session_id""",
+FROM h GROUP BY session_id, turn_index // 6""",
     ),
 )
 def f10(spark, sf):
-    t = bind(spark, sf, "turns").filter("turn_index < 6")
+    t = bind(spark, sf, "turns").withColumn("block", F.floor(F.col("turn_index") / 6).cast("int"))
     window = F.array_sort(F.collect_list(F.struct("turn_index", "turn_id", "content")))
-    return t.groupBy("session_id").agg(text.stub_summary(window).alias("summary"))
+    return t.groupBy("session_id", "block").agg(text.stub_summary(window).alias("summary"))
 
 
 @query(

@@ -154,7 +154,8 @@ def t5(spark, sf):
 
     def write(batch, batch_id):
         deleted = batch.filter("body IS NULL").select("id")
-        index.add(batch.filter("body IS NOT NULL").join(deleted, "id", "left_anti"), batch_id, deleted)
+        kept = batch.filter("body IS NOT NULL").join(deleted, "id", "left_anti")
+        index.add(kept.select("id", "recency_key"), kept.select("id", F.col("body").alias("text")), batch_id, deleted=deleted)
 
     finished(turns._start(stream, write, f"{folder}/checkpoint", None))
     hits = index.search(bind(spark, sf, "queries"))
