@@ -122,6 +122,8 @@ class DedupSink:
     # --- one batch ---
 
     def __call__(self, arrivals: DataFrame, batch_id: int) -> DataFrame:
+        # A dozen tables are written from the arrivals.
+        arrivals = settled(arrivals)
         names = [f.name for f in COMMON]
         atomic = arrivals.filter("target = 'structured'").select("seq", *names)
         deduped = reconcile.dedup_rows(atomic)

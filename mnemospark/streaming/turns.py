@@ -69,7 +69,7 @@ def stream_ingest(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         arrivals = settled(arrivals_of(batch, **options))
-        sink(settled(gate(arrivals, batch_id)), batch_id)
+        sink(gate(arrivals, batch_id), batch_id)
 
     return _start(turns, process, checkpoint or f"{path}/checkpoint", trigger)
 
