@@ -53,9 +53,10 @@ def mention_spans(texts: DataFrame, names: DataFrame, id: str = "id", text: str
         .filter("name <> ''")
         .select("name", "reg_seq", utf16_length("name").alias("name_len"), F.size(_pieces(F.col("name"))).alias("n_pieces"))
     )
+    # The lengths that names with a given first piece have: far fewer rows than names.
+    heads = listed.select(F.element_at(_pieces(F.col("name")), 1).alias("head"), "n_pieces").distinct()
     shape = listed.agg(
         F.struct(
-            F.sort_array(F.collect_set("n_pieces")).alias("lengths"),
             F.coalesce(F.max("n_pieces"), F.lit(0)).alias("longest"),
             F.coalesce(F.max(~_is_word(F.substring("name", 1, 1))), F.lit(False)).alias("odd"),
         )
@@ -72,9 +73,10 @@ def mention_spans(texts: DataFrame, names: DataFrame, id: str = "id", text: str
     # A row per place where a name may begin, with the few pieces that follow it; the text stays behind.
     places = F.filter(F.transform("_p", from_here), lambda x: x.isNotNull())
     # Outer, so that no filter on the list is formed below, which would build it twice.
-    begun = cut.select("id", "_s.lengths", F.explode_outer(places).alias("_b")).filter("_b IS NOT NULL").select(
-        "id", "_b.start", "_b.tail", "_b.before", F.explode("lengths").alias("n_pieces")
+    begun = cut.select("id", F.explode_outer(places).alias("_b")).filter("_b IS NOT NULL").select(
+        "id", "_b.start", "_b.tail", "_b.before", F.get("_b.tail", F.lit(0)).alias("head")
     )
+    begun = begun.join(heads, "head")
     n = F.col("n_pieces")
     at = lambda i: F.get("tail", i)
     free_left = _is_word(at(F.lit(0))) | ~F.coalesce(_is_word(F.col("before")), F.lit(False))
