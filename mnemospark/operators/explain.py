@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import confidence_band, confidence_percent
-from ..functions.text import EM_DASH, display_value, headline
+from ..functions.text import display_value, headline
 
 
 def witness_count(anchors: Column) -> Column:
@@ -110,7 +110,3 @@ def validity(p: Column) -> Column:
         .otherwise(F.concat(F.lit("Since "), t["turn_start"]))
     )
 
-
-__all__ = [
-    "EM_DASH", "anchor_sort", "evidence_rows", "explain_assets", "explain_attributes", "store_counts", "validity", "witness_count",
-]

@@ -7,7 +7,7 @@ never hangs on the order of summation. Equal scores rank by id.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import numpy as np
 import pandas as pd

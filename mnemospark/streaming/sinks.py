@@ -13,7 +13,7 @@ from ..operators import reconcile, retrieve
 from ..operators.lineage import settled
 from ..operators.ordering import first_per_key
 from ..operators.validate import network_matrix
-from ..schema import ANCHOR, ATTRIBUTE, PROVENANCE
+from ..schema import ATTRIBUTE, PROVENANCE
 from .deltas import DeltaLog
 
 Sink = Callable[[DataFrame, int], DataFrame]
@@ -283,4 +283,4 @@ class IndexingSink:
         return outcomes
 
 
-__all__ = ["ANCHOR", "DedupSink", "IndexingSink", "RoutedSink", "SearchIndex", "Sink"]
+__all__ = ["DedupSink", "IndexingSink", "RoutedSink", "SearchIndex", "Sink"]

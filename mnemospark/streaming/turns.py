@@ -71,7 +71,7 @@ def stream_ingest(
         arrivals = settled(arrivals_of(batch, **options))
         sink(gate(arrivals, batch_id), batch_id)
 
-    return _start(turns, process, checkpoint or f"{path}/checkpoint", trigger)
+    return run_batches(turns, process, checkpoint or f"{path}/checkpoint", trigger)
 
 
 def stream_assets(
@@ -82,10 +82,13 @@ def stream_assets(
     def process(batch: DataFrame, batch_id: int) -> None:
         sink(batch if gate is None else gate(batch, batch_id), batch_id)
 
-    return _start(assets, process, checkpoint, trigger)
+    return run_batches(assets, process, checkpoint, trigger)
 
 
-def _start(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None):
+def run_batches(
+    stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Run a function on every micro-batch; without a trigger, on all there is and then stop."""
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemospark.functions import text
 from mnemospark.operators import mentions as names_of
 from mnemospark.operators import retrieve, select
 from mnemospark.plans import recall

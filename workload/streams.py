@@ -128,7 +128,7 @@ def t4(spark, sf):
         log.write(made.select("session_id", "block", F.array_join(anchors, ",").alias("turns")), batch_id)
 
     windows = turns.stream_windows(stream, 200, WINDOW)
-    finished(turns._start(windows, write, f"{folder}/checkpoint", None))
+    finished(turns.run_batches(windows, write, f"{folder}/checkpoint", None))
     return log.read().select("session_id", "block", "turns")
 
 
@@ -157,7 +157,7 @@ def t5(spark, sf):
         kept = batch.filter("body IS NOT NULL").join(deleted, "id", "left_anti")
         index.add(kept.select("id", "recency_key"), kept.select("id", F.col("body").alias("text")), batch_id, deleted=deleted)
 
-    finished(turns._start(stream, write, f"{folder}/checkpoint", None))
+    finished(turns.run_batches(stream, write, f"{folder}/checkpoint", None))
     hits = index.search(bind(spark, sf, "queries"))
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
