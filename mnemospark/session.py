@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +33,23 @@ def local_session(app: str = "mnemospark", cpus: int | str = "*", shuffle_partit
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_packages(spark: SparkSession, root: str, packages: tuple[str, ...] = ("mnemospark", "workload")) -> None:
+    """Give Python workers the packages, for sessions that were not started with them (``--py-files``)."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="mnemospark-"), "mnemospark_packages.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for package in packages:
+            for folder, _, files in os.walk(os.path.join(root, package)):
+                for name in sorted(files):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
