@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, sequences, simhash
+from . import decontaminate, language, licences, linededup, mixing, sequences, simhash
 from .common import table
+from .sql import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,6 +23,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.with_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -31,12 +36,18 @@ def op8_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.with_kept_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return found.select("doc_id", "size", "source_size", "target", taken)
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_leaks, op2_language, op7_simhash, op8_sequences, op10_mixing)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_benchmark_leaks, op2_language, op5_licences, op7_simhash, op8_sequences, op9_line_dedup, op10_mixing)
+}
