@@ -24,7 +24,7 @@ PARTS = 1024
 
 def words(text: Column) -> Column:
     """The number of words of a text; 0 for NULL."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(BLANKS_WORD), F.lit(0))), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(BLANKS_WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licences, linededup, mixing, sequences, simhash
+from . import decontaminate, language, licences, linededup, minhash, mixing, pii, sequences, simhash
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -23,10 +23,18 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.with_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -49,5 +57,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_benchmark_leaks, op2_language, op5_licences, op7_simhash, op8_sequences, op9_line_dedup, op10_mixing)
+    for f in (
+        op1_benchmark_leaks,
+        op2_language,
+        op3_personal_data,
+        op5_licences,
+        op6_minhash,
+        op7_simhash,
+        op8_sequences,
+        op9_line_dedup,
+        op10_mixing,
+    )
 }
