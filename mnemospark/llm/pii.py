@@ -98,6 +98,12 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
 _CONTEXT = re.compile(r"\b(?:mail|e-mail|email|contact|phone|tel|call|mobile|fax|ip|address|host|server|card|visa|credit|pay|version|isbn|id|no|nr|number)\b", re.I)
 
 
+#: Context words that number things rather than name a person's data.
+_NUMBERING = frozenset(("version", "isbn", "id", "no", "nr", "number"))
+#: Words that lead personal data in training.
+_LEAD = {"email": ("email", "mail", "contact"), "ip": ("ip", "address", "host"), "card": ("card", "visa", "pay"), "phone": ("tel", "call", "phone")}
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of one candidate."""
     span, before, after = text[start:end], text[max(0, start - 30) : start], text[end : end + 10]
@@ -113,7 +119,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(any(m in low for m in ("(at)", "[at]", "{at}"))), float(any(m in low for m in ("(dot)", "[dot]", "{dot}"))),
         span.count("."), span.count(" "), span.count("-"), span.count("("), float(low.startswith("00")),
         float(len(tail[0])), float(tail[0] in ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")),
-        float(bool(words)), float("version" in words or "isbn" in words), float(before[-1:].isspace() or not before),
+        float(any(w not in _NUMBERING for w in words)), float(any(w in _NUMBERING for w in words)), float(before[-1:].isspace() or not before),
         float(after[:1].isspace() or not after), float(before[-1:].isdigit() or before[-1:] in "=_/#" and bool(before)),
         float(span[:1] == "(" and span[4:5] == ")"), float(groups[-3:] == [3, 3, 4]), span.count("[.]") + span.count("(.)"),
         float(groups == [4, 4, 4, 4]), float(sum(c.isalpha() for c in span)), float(sum(c.isdigit() for c in before[-12:])),
@@ -244,7 +250,8 @@ def train(texts: list[str], precision: float = PRECISION) -> Trees | None:
         versions = [(text, {(k, s, e) for k, s, e in spans})]
         for kind, s, e in [x for x in spans[:20] for _ in range(DISGUISES)]:
             shown = _disguise(kind, text[s:e], random)
-            around = (text[max(0, s - 200) : s], text[e : e + 200])
+            lead = ("", f"{_LEAD[kind][int(random.integers(3))]} ")[int(random.integers(2))]
+            around = (text[max(0, s - 200) : s] + lead, text[e : e + 200])
             versions.append((around[0] + shown + around[1], {(kind, len(around[0]), len(around[0]) + len(shown))}))
         at = int(random.integers(len(text) + 1))
         for _ in range(2):
