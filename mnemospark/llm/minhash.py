@@ -43,7 +43,7 @@ class Shingles:
         known = self.known
         if len(known) > _REMEMBERED:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED)
         hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         width = min(SHINGLE, len(hashes))

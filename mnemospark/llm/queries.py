@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licences, linededup, minhash, mixing, pii, sequences, simhash
+from . import decontaminate, language, licences, linededup, mainpage, minhash, mixing, pii, sequences, simhash
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -27,6 +27,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainpage.with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.with_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -61,6 +65,7 @@ QUERIES = {
         op1_benchmark_leaks,
         op2_language,
         op3_personal_data,
+        op4_main_text,
         op5_licences,
         op6_minhash,
         op7_simhash,
