@@ -9,6 +9,7 @@ document's id, first position in the file and number of ids. Files are numbered
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +29,31 @@ BATCH = 64
 END_ID = 1
 #: Words whose ids a task remembers.
 REMEMBERED = 1 << 19
-#: White space at which a text may be cut into pieces that are encoded alone.
-_BLANK = str.maketrans("\n\r\t", "   ")
+
+
+def _letters(word: str) -> bool:
+    """Only letters, also once the tokenizer has composed and lower-cased them."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
+def _parts(run: str) -> tuple[str, ...]:
+    """A blank-free run in parts that are encoded alone: a stop or comma at the end of letters is a piece of its own. The
+    tokenizer drops case; only ASCII is lower-cased here."""
+    word, end = (run[:-1], run[-1]) if run[-1] in ".," else (run, "")
+    if not _letters(word):
+        return (run,)
+    word = word.lower() if word.isascii() else word
+    return (word, end) if end else (word,)
+
+
+_encoders: dict[str, "Encoder"] = {}
+
+
+def encoder(path: str) -> "Encoder":
+    """This worker's encoder, which keeps what it has learned from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Encoder:
@@ -43,21 +67,36 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters, encoded as one text and cut at the tokens that end a word. Nothing, if the cuts do not
+        give one part for each word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or not len(ids) or cuts[-1] != len(ids):
+            return {}
+        data, size, cuts = ids.tobytes(), self.dtype.itemsize, cuts.tolist()
+        return {w: data[size * a : size * b] for w, a, b in zip(words, [0, *cuts], cuts)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [t.translate(_BLANK).split(" ") for t in texts]
-        new = list({w for r in runs for w in r if w not in self.known})
-        fresh = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            fresh.update((w, np.array(c.ids, self.dtype).tobytes()) for w, c in zip(part, coded))
+        runs = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
-        if len(known) + len(fresh) > REMEMBERED:
-            known = {**known, **fresh}
-            self.known = {"": b""}
-        else:
-            known.update(fresh)
+        if len(known) > REMEMBERED:
+            known.clear()
+            known[""] = b""
+        new = {w: _parts(w) for r in runs for w in set(r).difference(known)}
+        fresh = list({p for parts in new.values() for p in parts}.difference(known))
+        words = [p for p in fresh if _letters(p)]
+        for i in range(0, len(words), 512):
+            known.update(self._words(words[i : i + 512]))
+        rest = [p for p in fresh if p not in known]
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            known.update((w, np.array(c.ids, self.dtype).tobytes()) for w, c in zip(part, coded))
+        known.update((w, b"".join(map(known.__getitem__, parts))) for w, parts in new.items())
         end = np.array([END_ID], self.dtype).tobytes()
         return [b"".join(map(known.__getitem__, r)) + end for r in runs]
 
@@ -109,17 +148,17 @@ class _Part:
 
 def _writer(folder: str, tokenizer: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, number = Encoder(tokenizer), None, None
+        coder, part, number = encoder(tokenizer), None, None
         for batch in batches:
             for bucket, rows in batch.groupby("bucket", sort=False):
                 if bucket != number:
                     if part:
                         part.close()
                         yield pd.DataFrame({"part": [number], "n_ids": [part.total]})
-                    part, number = _Part(folder, int(bucket), encoder.dtype), bucket
+                    part, number = _Part(folder, int(bucket), coder.dtype), bucket
                 ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"]]
                 for i in range(0, len(ids), 512):
-                    part.add(ids[i : i + 512], encoder.encode([t or "" for t in rows["text"].iloc[i : i + 512]]))
+                    part.add(ids[i : i + 512], coder.encode([t or "" for t in rows["text"].iloc[i : i + 512]]))
         if part:
             part.close()
             yield pd.DataFrame({"part": [number], "n_ids": [part.total]})
