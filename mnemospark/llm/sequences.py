@@ -12,6 +12,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ LENGTH = 2048
 BATCH = 64
 END_ID = 1
 #: Words whose ids a task remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 
 
 def _letters(word: str) -> bool:
@@ -86,7 +87,7 @@ class Encoder:
         if len(known) > REMEMBERED:
             known.clear()
             known[""] = b""
-        new = {w: _parts(w) for r in runs for w in set(r).difference(known)}
+        new = {w: _parts(w) for w in set(chain.from_iterable(runs)).difference(known)}
         fresh = list({p for parts in new.values() for p in parts}.difference(known))
         words = [p for p in fresh if _letters(p)]
         for i in range(0, len(words), 512):
