@@ -129,7 +129,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     host = {heads[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}
     if not host:
         return docs.sparkSession.createDataFrame([], _SCHEMA)
-    to = F.create_map(*[F.lit(x) for pair in host.items() for x in pair])[F.col("k")]
+    to = F.create_map(*[F.lit(x).cast("long") for pair in host.items() for x in pair])[F.col("k")]
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
     guest = F.struct(to.cast("int").alias("bucket"), F.lit(True).alias("guest"))
     places = F.when(to.isNull(), F.array(own)).otherwise(F.array(own, guest))
