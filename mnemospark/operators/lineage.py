@@ -9,25 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's checkpoint folder. A local session without one gets a temporary folder, a cluster none."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. Only a session on one machine gets one of its own if the setting is missing."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local["):
         return os.path.join(tempfile.gettempdir(), "mnemospark-checkpoints")
-    return None
+    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows from a written table, so that many readers and retried tasks do not compute them again.
-
-    Without a shared folder the plan is left as it is.
-    """
+    """The same rows from a written table, so that many readers and retried tasks do not compute them again."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
