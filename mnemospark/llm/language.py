@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import unique_name
 
 #: Labelled rows a language's filter is fitted on, at most: those with the smallest id hashes, whole texts.
-SAMPLE = 1500
+SAMPLE = 400
 SIZES = (2, 3, 4)
 BITS = 20
 HASHES = 3
@@ -112,9 +112,14 @@ def fit(rows: list[tuple[str, str]]) -> Filters:
     seen, amount = [], []
     for lang in languages:
         values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        parts = [p for t in texts[lang] for p in grams(t)]
-        if parts:
-            values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        for text in texts[lang]:
+            for part in grams(text):
+                new, n = np.unique(part, return_counts=True)
+                at = np.searchsorted(values, new)
+                known = at < len(values)
+                known[known] = values[at[known]] == new[known]
+                counts[at[known]] += n[known]
+                values, counts = np.insert(values, at[~known], new[~known]), np.insert(counts, at[~known], n[~known])
         seen.append((values, counts))
         amount.append(max(1, counts.sum()))
     every = np.unique(np.concatenate([v for v, _ in seen])) if seen else np.zeros(0, np.uint64)
