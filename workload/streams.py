@@ -23,7 +23,7 @@ from .transcripts import WINDOW
 
 
 def new_folder(spark) -> str:
-    return f"{shared_folder(spark) or 'mnemospark-streams'}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def as_stream(spark, df, part, n: int, folder: str):
