@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import PAGE, paged_collect
-
+from .ordering import listed
 
 #: Entities of one asset that are paired in one task.
 BLOCK = 1_000
@@ -52,12 +51,12 @@ def cooccurrence_join(mentions: DataFrame, cards: DataFrame, block: int = BLOCK)
     )
 
 
-def graph_edges(pairs: DataFrame, page_size: int = PAGE) -> DataFrame:
-    """(src, dst, page, reasons): one undirected edge with the contents of the assets behind it.
+def graph_edges(pairs: DataFrame) -> DataFrame:
+    """(src, dst, reasons): one row per undirected edge with the contents of the assets behind it, a view of ``pairs``.
 
-    An edge is one row, page 0; only one with over ``page_size`` reasons takes several.
+    ``pairs`` is the child table, one row per reason; ``edge_counts`` gives the edges without lists.
     """
-    return paged_collect(pairs, ["src", "dst"], F.col("content"), "asset_id", page_size, "reasons")
+    return listed(pairs, ["src", "dst"], F.col("content"), "reasons")
 
 
 def edge_counts(pairs: DataFrame) -> DataFrame:
@@ -70,9 +69,9 @@ def graph_nodes(cards: DataFrame) -> DataFrame:
 
 
 def graph_neighbors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, neighbor, label, entity_type, page, reasons): both ends of each edge, the reasons in one line."""
+    """(id, neighbor, label, entity_type, reasons): both ends of each edge, the reasons in one line."""
     text = F.array_join("reasons", " · ").alias("reasons")
-    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbor"), "page", text).unionAll(
-        edges.select("dst", "src", "page", text)
+    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbor"), text).unionAll(
+        edges.select("dst", "src", text)
     )
     return both.join(nodes.select(F.col("id").alias("neighbor"), "label", "entity_type"), "neighbor")

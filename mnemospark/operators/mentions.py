@@ -16,6 +16,8 @@ from ..functions.text import utf16_length
 from .ordering import first_per_key
 
 PIECE = "[a-z0-9'-]+|[^a-z0-9'-]"
+#: Leading pieces of a name by which its places are found.
+HEAD = 3
 
 
 def _is_word(piece: Column) -> Column:
@@ -28,11 +30,21 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"(?s){PIECE}"), F.lit(0))
 
 
-def name_index(cards: DataFrame, version: str = "seq") -> DataFrame:
-    """(name, entity_id, reg_seq) from cards with ``canonical_name`` and ``aliases``; a later card of an entity replaces."""
-    latest = first_per_key(cards, ["entity_id"], F.col(version).desc())
-    names = F.array_distinct(F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))))
-    rows = latest.select("entity_id", F.col(version).alias("reg_seq"), F.explode(names).alias("_n"))
+def name_index(cards: DataFrame, version: str = "seq", aliases: DataFrame | None = None) -> DataFrame:
+    """(name, entity_id, reg_seq) from cards with ``canonical_name``; a later card of an entity replaces.
+
+    Other names come from the child table ``aliases`` (entity_id, alias), one row each, or else from the cards' own
+    column ``aliases``.
+    """
+    latest = first_per_key(cards, ["entity_id"], F.col(version).desc()).withColumnRenamed(version, "reg_seq")
+    if aliases is None:
+        names = F.array_union(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+        rows = latest.select("entity_id", "reg_seq", F.explode(names).alias("_n"))
+    else:
+        known = latest.select("entity_id", "reg_seq")
+        rows = latest.select("entity_id", "reg_seq", F.col("canonical_name").alias("_n")).unionByName(
+            aliases.join(known, "entity_id").select("entity_id", "reg_seq", F.col("alias").alias("_n"))
+        )
     return rows.select(F.lower("_n").alias("name"), "entity_id", "reg_seq").filter("name <> ''").distinct()
 
 
@@ -47,45 +59,51 @@ def mention_spans(texts: DataFrame, names: DataFrame, id: str = "id", text: str
 
     Longer names claim first, then earlier registered ones, then earlier places.
     """
-    listed = (
+    known = (
         names.groupBy(F.lower("name").alias("name"))
         .agg(F.min("reg_seq").alias("reg_seq"))
         .filter("name <> ''")
-        .select("name", "reg_seq", utf16_length("name").alias("name_len"), F.size(_pieces(F.col("name"))).alias("n_pieces"))
+        .select("name", "reg_seq", utf16_length("name").alias("name_len"), _pieces(F.col("name")).alias("_p"))
+        .select("name", "reg_seq", "name_len", F.size("_p").alias("n_pieces"), F.array_join(F.slice("_p", 1, HEAD), "").alias("head"))
     )
-    # The lengths that names with a given first piece have: far fewer rows than names.
-    heads = listed.select(F.element_at(_pieces(F.col("name")), 1).alias("head"), "n_pieces").distinct()
-    shape = listed.agg(
+    # The lengths that names with given first pieces have: far fewer rows than names.
+    heads = known.select("head", "n_pieces").distinct()
+    # At most HEAD widths, and the different first characters of names that do not begin with a word.
+    first = F.substring("name", 1, 1)
+    shape = known.agg(
         F.struct(
-            F.coalesce(F.max("n_pieces"), F.lit(0)).alias("longest"),
-            F.coalesce(F.max(~_is_word(F.substring("name", 1, 1))), F.lit(False)).alias("odd"),
+            F.collect_set(F.least("n_pieces", F.lit(HEAD))).alias("widths"),
+            F.collect_set(F.when(~_is_word(first), first)).alias("odd"),
         )
     )
     cut = texts.select(F.col(id).alias("id"), _pieces(F.col(text)).alias("_p"), shape.scalar().alias("_s"))
     pieces = F.col("_p")
 
     def from_here(piece: Column, at: Column) -> Column:
-        place = F.struct(
-            (at + 1).alias("start"), F.slice(pieces, at + 1, F.col("_s.longest") + 1).alias("tail"), F.get(pieces, at - 1).alias("before")
-        )
-        return F.when(_is_word(piece) | F.col("_s.odd"), place)
+        fit = F.filter("_s.widths", lambda w: at + w <= F.size(pieces))
+        head = lambda w: F.struct((at + 1).alias("start"), F.array_join(F.slice(pieces, at + 1, w), "").alias("head"))
+        return F.when(_is_word(piece) | F.array_contains("_s.odd", piece), F.transform(fit, head))
 
-    # A row per place where a name may begin, with the few pieces that follow it; the text stays behind.
-    places = F.filter(F.transform("_p", from_here), lambda x: x.isNotNull())
+    # A row per place and head that may begin a name: no text and no more pieces than a head has.
+    places = F.flatten(F.filter(F.transform("_p", from_here), lambda x: x.isNotNull()))
     # Outer, so that no filter on the list is formed below, which would build it twice.
-    begun = cut.select("id", F.explode_outer(places).alias("_b")).filter("_b IS NOT NULL").select(
-        "id", "_b.start", "_b.tail", "_b.before", F.get("_b.tail", F.lit(0)).alias("head")
-    )
-    begun = begun.join(heads, "head")
-    n = F.col("n_pieces")
-    at = lambda i: F.get("tail", i)
-    free_left = _is_word(at(F.lit(0))) | ~F.coalesce(_is_word(F.col("before")), F.lit(False))
-    free_right = _is_word(at(n - 1)) | ~F.coalesce(_is_word(at(n)), F.lit(False))
-    runs = begun.filter((n <= F.size("tail")) & free_left & free_right).select(
-        "id", "start", "n_pieces", F.array_join(F.slice("tail", F.lit(1), n), "").alias("name")
-    )
-    found = runs.join(listed, ["name", "n_pieces"])
-    return _claim(found)
+    begun = cut.select("id", F.explode_outer(places).alias("_b")).filter("_b IS NOT NULL").select("id", "_b.start", "_b.head")
+    hits = begun.join(heads, "head").groupBy("id").agg(F.collect_list(F.struct("start", "n_pieces")).alias("_h"))
+    # Only texts with hits are read again, and each hit is cut to the length of its own names.
+    back = texts.select(F.col(id).alias("id"), F.col(text).alias("_t")).join(hits, "id")
+    back = back.select("id", "_h", _pieces(F.col("_t")).alias("_p"))
+
+    def run(hit: Column) -> Column:
+        start, n = hit["start"], hit["n_pieces"]
+        at = lambda i: F.get(pieces, i)
+        free_left = _is_word(at(start - 1)) | ~F.coalesce(_is_word(at(start - 2)), F.lit(False))
+        free_right = _is_word(at(start + n - 2)) | ~F.coalesce(_is_word(at(start + n - 1)), F.lit(False))
+        name = F.array_join(F.slice(pieces, start, n), "").alias("name")
+        whole = (start + n - 1 <= F.size(pieces)) & free_left & free_right
+        return F.when(whole, F.struct(start.alias("start"), n.alias("n_pieces"), name))
+
+    runs = back.select("id", F.explode_outer(F.transform("_h", run)).alias("_r")).filter("_r IS NOT NULL").select("id", "_r.*")
+    return _claim(runs.join(known.drop("head"), ["name", "n_pieces"]))
 
 
 def _claim(found: DataFrame) -> DataFrame:

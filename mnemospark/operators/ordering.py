@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: Width of a chunk in units of the order column; bounds the rows of one (key, chunk).
 CHUNK = 1 << 20
-#: Elements of one collected list before it is cut into pages.
-PAGE = 10_000
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -67,28 +65,10 @@ def with_running(
     return out.drop("_chunk", "_n0", *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
-def paged_collect(
-    df: DataFrame,
-    keys: Sequence[str],
-    element: Column,
-    spread: str,
-    page_size: int = PAGE,
-    name: str = "items",
-) -> DataFrame:
-    """Collect a list per key, cut into pages where a key is large.
+def listed(df: DataFrame, keys: Sequence[str], element: Column, name: str = "items") -> DataFrame:
+    """Keys and the sorted list ``name`` of all their elements: one row per key at every size.
 
-    Returns keys, ``page`` (from 0), ``n_items`` of the whole key, and the sorted page ``name``. A key
-    of up to ``page_size`` elements is one row. A larger one is spread by a hash
-    of the ``spread`` column over as many pages as it needs; nothing is dropped.
+    A view for callers who want a nested list. The list is as long as the key has elements, so what must hold for a key
+    of any size reads the child table ``df`` instead.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = counts.filter(F.col("_n") > page_size).select(
-        *keys, F.ceil(F.col("_n") / page_size).cast("int").alias("_pages")
-    )
-    placed = df.withColumn("_item", element).join(large, list(keys), "left")
-    page = F.when(F.col("_pages").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("_pages")).cast("int"))
-    return (
-        placed.withColumn("page", page)
-        .groupBy(*keys, "page")
-        .agg(F.sort_array(F.collect_list("_item")).alias(name))
-    )
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(element)).alias(name))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..schema import ANCHOR
 from .extract import mention_key
 from .lineage import settled
-from .ordering import CHUNK, PAGE, paged_collect
+from .ordering import CHUNK, listed
 
 OUTCOMES = ("created", "bumped", "merged", "state_changed")
 
@@ -42,11 +42,10 @@ def evidence(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def nest_anchors(table: DataFrame, proof: DataFrame, keys: list[str], page_size: int = PAGE) -> DataFrame:
-    """Attach the anchors as a list in order of arrival; a row with very many gets one row per page."""
+def nest_anchors(table: DataFrame, proof: DataFrame, keys: list[str]) -> DataFrame:
+    """A view of ``table`` with the anchors as a list in order of arrival, one row per key. ``proof`` holds them one per row."""
     item = F.struct("first_seq", "turn_id", "quote", "char_start", "char_end")
-    pages = paged_collect(proof, keys, item, "first_seq", page_size, "anchors")
-    return table.join(pages, keys, "left")
+    return table.join(listed(proof, keys, item, "anchors"), keys, "left")
 
 
 # --- atomic assets ------------------------------------------------------------
@@ -440,7 +439,7 @@ def attribute_evidence(changes: DataFrame, state: DataFrame) -> DataFrame:
 
 @dataclass
 class MergedCards:
-    """``cards`` with (a page of) their aliases; ``aliases`` and ``attributes`` as tables; evidence of cards and of attributes; all changes."""
+    """``cards``, one row per entity; their ``aliases`` and ``attributes`` as tables; evidence of cards and of attributes; all changes."""
 
     cards: DataFrame
     aliases: DataFrame
@@ -464,18 +463,12 @@ def card_aliases(cards: DataFrame) -> DataFrame:
     )
 
 
-def nest_aliases(cards: DataFrame, aliases: DataFrame, page_size: int = PAGE) -> DataFrame:
-    """Attach to each card its distinct aliases in order of arrival.
-
-    A card is one row, page 0; only one with over ``page_size`` aliases is given once per page of them.
-    """
-    listed = paged_collect(
-        aliases, ["entity_id"], F.struct("first_seq", "first_place", "alias"), "alias", page_size, "_l"
-    )
+def nest_aliases(cards: DataFrame, aliases: DataFrame) -> DataFrame:
+    """A view of the cards with their distinct aliases as a list in order of arrival, one row per card."""
+    lists = listed(aliases, ["entity_id"], F.struct("first_seq", "first_place", "alias"), "_l")
     names = F.transform("_l", lambda a: a["alias"])
-    rows = cards.join(listed, "entity_id", "left")
-    rows = rows.withColumn("aliases", F.coalesce(names, F.array().cast("array<string>"))).drop("_l")
-    return rows.withColumn("page", F.coalesce("page", F.lit(0)))
+    rows = cards.join(lists, "entity_id", "left")
+    return rows.withColumn("aliases", F.coalesce(names, F.array().cast("array<string>"))).drop("_l")
 
 
 def card_rows(cards: DataFrame) -> DataFrame:
@@ -487,7 +480,7 @@ def merge_entities(cards: DataFrame, chunk: int = CHUNK) -> MergedCards:
     """One card per entity. The first witness gives id, name, type, network, content, summary and tags."""
     aliases = card_aliases(cards)
     proof = evidence(cards.select("entity_id", "seq", F.col("provenance.raw_quote_anchors").alias("anchors")), ["entity_id"])
-    table = with_witnesses(nest_aliases(card_rows(cards), aliases), proof, "entity_id")
+    table = with_witnesses(card_rows(cards), proof, "entity_id")
     # Four results read the changes.
     changes = settled(card_changes(cards, chunk))
     folded = changes.filter("change <> 'stored'")

@@ -100,7 +100,7 @@ class DedupSink:
     def current_cards(self, before: int | None = None) -> DataFrame:
         rows = reconcile.merge_rows(self.cards.read(before).drop("batch_id"), "entity_id")
         proof = reconcile.merge_evidence(self.card_evidence.read(before), ["entity_id"])
-        return reconcile.with_witnesses(reconcile.nest_aliases(rows, self.current_aliases(before)), proof, "entity_id")
+        return reconcile.with_witnesses(rows, proof, "entity_id")
 
     def current_states(self, before: int | None = None) -> DataFrame:
         """What each folded (entity, key) holds: its state of the latest batch."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from mnemospark.operators import extract, reconcile, reflect
 from mnemospark.operators import transcript as tr
-from mnemospark.operators.ordering import paged_collect, with_running
+from mnemospark.operators.mentions import mention_spans, name_index
+from mnemospark.operators.ordering import listed, with_running
 
 
 def fold_loop(rows):
@@ -65,13 +66,30 @@ def test_with_running(spark):
             assert r["all_v"] == sum(x[2] for x in mine)
 
 
-def test_paged_collect_keeps_every_element(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise("cold").alias("k"), "id")
-    rows = paged_collect(df, ["k"], F.col("id"), "id", page_size=300).collect()
-    hot = [r for r in rows if r["k"] == "hot"]
-    assert len(hot) == 3 and len([r for r in rows if r["k"] == "cold"]) == 1
-    assert sorted(x for r in hot for x in r["items"]) == list(range(700))
-    assert all(r["items"] == sorted(r["items"]) for r in rows)
+def test_listed_gives_one_row_per_key(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") < 21_000, "hot").otherwise("cold").alias("k"), "id")
+    rows = {r["k"]: r["items"] for r in listed(df, ["k"], F.col("id")).collect()}
+    assert rows == {"hot": list(range(21_000)), "cold": list(range(21_000, 30_000))}
+
+
+def test_names_come_from_the_alias_table(spark):
+    cards = spark.createDataFrame([("e", "Old", 1), ("e", "Main", 9), ("f", "Other", 3)], "entity_id string, canonical_name string, seq long")
+    aliases = spark.createDataFrame([("e", f"N{i}") for i in range(7)] + [("f", "N3"), ("gone", "X")], "entity_id string, alias string")
+    got = {tuple(r) for r in name_index(cards, aliases=aliases).collect()}
+    assert got == {("main", "e", 9), ("other", "f", 3), ("n3", "f", 3)} | {(f"n{i}", "e", 9) for i in range(7)}
+
+
+def test_mentions_with_long_short_and_odd_names(spark):
+    names = spark.createDataFrame(
+        [("a", "al", 1), ("b", "Al Bo", 2), ("c", "al bo cy, and then some", 3), ("d", "(x)", 4), ("e", "word " * 300 + "end", 5)],
+        "entity_id string, name string, reg_seq long",
+    )
+    texts = spark.createDataFrame(
+        [(1, "Al bo. AL; pal al-x al bo cy, and then some"), (2, "f(x) (x)"), (3, None), (4, ""), (5, "al"), (6, "word " * 301 + "end")],
+        "id long, text string",
+    )
+    got = {(r["id"], r["name"][:8], r["start"]) for r in mention_spans(texts, names).collect()}
+    assert got == {(1, "al bo", 1), (1, "al", 6), (1, "al bo cy", 13), (2, "(x)", 6), (5, "al", 1), (6, "word wor", 3)}
 
 
 def test_rolling_windows_against_loop(spark):

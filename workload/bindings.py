@@ -52,10 +52,11 @@ FROM {conversations} WHERE turn = conv_id % 5 + 1 OR turn = conv_id % 3 + 2""",
        CAST(c_custkey AS INT) AS turn_index
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 UNION ALL
-SELECT CAST(s_nationkey AS BIGINT), 'w' || lpad(CAST(s_suppkey AS STRING), 12, '0'), 'assistant',
+SELECT CAST(s_nationkey AS BIGINT), 'w' || lpad(CAST(p_partkey AS STRING), 12, '0'), 'assistant',
        'Supp' || CAST(s_suppkey AS STRING) || ' has ' || CASE WHEN s_suppkey % 3 = 0 THEN 'the ' ELSE 'a ' END
-       || p_name || '.', CAST(1000000000 + s_suppkey AS INT)
-FROM {supplier} JOIN {part} ON s_suppkey = p_partkey""",
+       || p_name || '.', CAST(1000000000 + p_partkey AS INT)
+FROM (SELECT p_partkey, p_name, p_partkey % (SELECT count(*) FROM {supplier}) + (SELECT min(s_suppkey) FROM {supplier}) AS seller
+FROM {part}) JOIN {supplier} ON s_suppkey = seller""",
     ),
     "opinions": (
         (),
@@ -72,8 +73,7 @@ FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
         (),
         """SELECT 'f' || lpad(CAST(o_orderkey AS STRING), 12, '0') AS id, CAST(o_orderkey AS BIGINT) AS seq,
        '  ' || n_name || ' is ' || lower(c_mktsegment) || '  and STRONG. ' AS content
-FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
-WHERE o_orderstatus = 'F'""",
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
     ),
     "atomic": (
         (),
@@ -84,7 +84,7 @@ WHERE o_orderstatus = 'F'""",
        CASE WHEN lang = 'fr' THEN 'narrator' END AS viewpoint_holder, lang AS entity, source AS tag,
        't' || lpad(CAST(doc_id AS STRING), 12, '0') AS source_turn_id,
        CAST(doc_id % 9 + 1 AS DOUBLE) / 10 AS confidence,
-       CASE WHEN length(text) > 0 THEN substring(text, 1, 40) ELSE '(empty)' END AS quote
+       CASE WHEN length(text) > 0 THEN text ELSE '(empty)' END AS quote
 FROM {documents}""",
     ),
     "cards_in": (
@@ -124,21 +124,24 @@ FROM {embeddings}""",
     ),
     "queries": (
         (),
-        """SELECT CAST(item_id AS BIGINT) AS query_id, regexp_extract(text, '^([^ ]+ ){0,3}[^ ]+', 0) AS query
-FROM {benchmark} WHERE text <> ''""",
+        """SELECT CAST(item_id AS BIGINT) AS query_id, text AS query FROM {benchmark} WHERE text <> ''""",
     ),
     "query_vectors": (
         (),
-        """SELECT CAST(item_id AS BIGINT) AS query_id, embedding AS vector
-FROM {benchmark} JOIN {embeddings} ON item_id = vec_id WHERE text <> ''""",
+        """SELECT query_id, embedding AS vector FROM (SELECT CAST(item_id AS BIGINT) AS query_id,
+       item_id % (SELECT count(*) FROM {embeddings}) + (SELECT min(vec_id) FROM {embeddings}) AS own
+FROM {benchmark} WHERE text <> '') JOIN {embeddings} ON vec_id = own""",
+    ),
+    "all_vectors": (
+        (),
+        "SELECT CAST(vec_id AS BIGINT) AS query_id, embedding AS vector FROM {embeddings}",
     ),
     "names": (
         (),
         """SELECT 'e:' || CAST(item_id AS STRING) AS entity_id, CAST(item_id * 2 AS BIGINT) AS reg_seq,
-       regexp_extract(text, '^([^ ]+ ){0,1}[^ ,.]+', 0) AS name FROM {benchmark} WHERE text <> ''
+       text AS name FROM {benchmark} WHERE text <> ''
 UNION ALL
-SELECT 'e:' || CAST(item_id AS STRING), CAST(item_id * 2 + 1 AS BIGINT), regexp_extract(text, '^[^ ,.]+', 0)
-FROM {benchmark} WHERE text <> ''""",
+SELECT 'lang:' || lang, CAST(1000000000 + min(doc_id) AS BIGINT), lang FROM {documents} WHERE lang IS NOT NULL GROUP BY lang""",
     ),
     "corpus": (
         (),
@@ -228,8 +231,8 @@ def _closure(names: tuple[str, ...]) -> list[str]:
     return out
 
 
-#: Columns by which a large text table is spread if it comes in few partitions.
-TEXT_TABLES = {"documents": "doc_id", "conversations": "text", "pages": "page_id"}
+#: Large text tables, which are spread if they come in few partitions.
+TEXT_TABLES = ("documents", "conversations", "pages")
 
 
 def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -240,7 +243,7 @@ def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if table in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, TEXT_TABLES[table])
+        df = df.repartition(cores)
     return df
 
 

@@ -280,7 +280,7 @@ UNION ALL SELECT entity_id, key, value_json, confidence, NULL, source_turn_id, N
 def a2(spark, sf):
     m = reconcile.merge_entities(user_cards(spark, sf))
     p = F.col("provenance")
-    cards = m.cards.select(
+    cards = reconcile.nest_aliases(m.cards, m.aliases).select(
         "entity_id", F.lit("card").alias("part"), F.concat_ws("|", "id", "entity_type", F.array_join("aliases", ",")).alias("value"),
         p["confidence_score"].alias("confidence"), "relevance", "last_updated_turn", F.col("witness_count").alias("witnesses"),
     )
@@ -359,7 +359,7 @@ def a15(spark, sf):
 
 
 #: Facts after the gate at floor 0.3 with two mentions needed, then what they become.
-INGEST_SQL = FACTS + f""", g AS (SELECT *, turn_index * 1048576 + position AS seq, row_number() OVER (PARTITION BY kind, network, ids, coalesce(viewpoint_holder, ''),
+INGEST_SQL = FACTS + f""", g AS (SELECT *, CAST(turn_index AS BIGINT) * 1048576 + position AS seq, row_number() OVER (PARTITION BY kind, network, ids, coalesce(viewpoint_holder, ''),
  {norm_sql('content')} ORDER BY turn_index, position) AS mention FROM facts),
 ok AS (SELECT * FROM g WHERE mention >= 2),
 ats AS (SELECT *, row_number() OVER (PARTITION BY kind, network, ids, coalesce(viewpoint_holder, ''), {norm_sql('content')} ORDER BY seq) AS rn FROM ok WHERE kind <> 'entity'),

@@ -214,7 +214,7 @@ def j8(spark, sf):
 
 @query(
     "A11_graph_edges",
-    with_tables("graph_mentions cards", PAIRS + " SELECT src, dst, 0 AS page, string_agg(content, '|' ORDER BY content) AS reasons FROM pairs GROUP BY 1, 2"),
+    with_tables("graph_mentions cards", PAIRS + " SELECT src, dst, string_agg(content, '|' ORDER BY content) AS reasons FROM pairs GROUP BY 1, 2"),
 )
 def a11(spark, sf):
     return graph.graph_edges(pairs(spark, sf)).withColumn("reasons", F.array_join("reasons", "|"))

@@ -128,12 +128,12 @@ def r1(spark, sf):
 
 @query(
     "R2_vector_topk",
-    with_tables("lore query_vectors", VECTOR_CTES.replace("{where}", "WHERE network IN ('world', 'opinion')")
+    with_tables("lore all_vectors", VECTOR_CTES.replace("query_vectors", "all_vectors").replace("{where}", "WHERE network IN ('world', 'opinion')")
                 + " SELECT query_id, id, round(score, 6) AS score, rank FROM vk"),
 )
 def r2(spark, sf):
     lore = retrieve.scope_filter(bind(spark, sf, "lore"), ["world", "opinion"])
-    hits = retrieve.vector_topk(lore, bind(spark, sf, "query_vectors"))
+    hits = retrieve.vector_topk(lore, bind(spark, sf, "all_vectors"))
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -287,7 +287,7 @@ def context_inputs(spark, sf):
         F.concat(F.lit("sum:"), "turn_id").alias("id"),
         F.when(F.col("turn_index") % 2 == 1, F.col("turn_id")).alias("turn_end"),
         F.when(F.col("session_id") % 10 == 3, F.lit("gone")).otherwise(F.col("turn_id")).alias("source_turn_id"),
-        F.concat(F.lit(" so far "), F.substring("content", 1, 60)).alias("content"),
+        F.concat(F.lit(" so far "), F.col("content")).alias("content"),
     )
     q = full_queries(spark, sf).withColumn("session_id", F.col("query_id") % 50)
     q = q.withColumn("query", F.when(F.col("query_id") % 9 == 4, F.lit("  ")).otherwise(F.col("query")))
@@ -295,7 +295,7 @@ def context_inputs(spark, sf):
 
 
 SUMMARY_CTES = """, sm AS (SELECT 'sum:' || turn_id AS id, CASE WHEN turn_index % 2 = 1 THEN turn_id
- WHEN session_id % 10 = 3 THEN 'gone' ELSE turn_id END AS at, ' so far ' || substring(content, 1, 60) AS content FROM turns),
+ WHEN session_id % 10 = 3 THEN 'gone' ELSE turn_id END AS at, ' so far ' || content AS content FROM turns),
 pl AS (SELECT sm.id, sm.content, t.session_id, t.turn_index AS pos FROM sm JOIN turns t ON t.turn_id = sm.at),
 last3 AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos, id) AS place FROM (
  SELECT * FROM pl QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pos DESC, id DESC) <= 3))"""

@@ -135,7 +135,7 @@ def t4(spark, sf):
 @query(
     "T5_stream_index",
     with_tables("queries", """, versions AS (SELECT doc_id AS id, text AS content, 0 AS v FROM documents UNION ALL
- SELECT doc_id, source || ' ' || substring(text, 1, 200), 1 FROM documents WHERE doc_id % 3 = 0),
+ SELECT doc_id, source || ' ' || text, 1 FROM documents WHERE doc_id % 3 = 0),
 final AS (SELECT 'k' || id AS id, arg_max(content, v) AS content FROM versions WHERE id % 10 <> 7 GROUP BY 1)"""
                 + bm25_ctes("final") + " SELECT query_id, id, round(score, 6) AS score, rank FROM bm"),
 )
@@ -146,7 +146,7 @@ def t5(spark, sf):
     d = base(spark, sf, "documents")
     row = lambda text, part: d.select(F.concat(F.lit("k"), "doc_id").alias("id"), text.alias("body"), F.lit("t").alias("recency_key"), part.alias("part"))
     first = row(F.col("text"), F.when(F.col("doc_id") % 2 == 0, 0).otherwise(1))
-    again = row(F.concat("source", F.lit(" "), F.substring("text", 1, 200)), F.when(F.col("doc_id") % 3 == 0, 2).otherwise(9))
+    again = row(F.concat("source", F.lit(" "), "text"), F.when(F.col("doc_id") % 3 == 0, 2).otherwise(9))
     gone = row(F.lit(None).cast("string"), F.when(F.col("doc_id") % 10 == 7, 2).otherwise(9))
     rows = first.unionAll(again).unionAll(gone)
     index = sinks.SearchIndex(spark, folder)
