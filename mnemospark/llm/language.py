@@ -150,8 +150,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     Only those rows reach the driver: ``sample`` whole texts per language. Rows without text, label or id teach nothing.
     """
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # Hashes are even, so those below this share hold the smallest ``sample`` of a language and few more: a language with
+    # many rows is not ranked whole. Sizes are one row per language.
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("size"))
+    low = F.col("h").cast("double") / 2.0**64 + 0.5 <= F.lit(4.0 * sample) / F.col("size")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    few = ids.join(F.broadcast(sizes), "lang").filter(low).select("lang", "doc_id", "h").distinct()
+    picked = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
     # The picked ids are at most ``sample`` per language, so they may be broadcast: the texts are not shuffled.
     texts = rows.select("doc_id", "lang", "text").join(F.broadcast(picked.select("doc_id", "lang")), ["doc_id", "lang"])
     got = sorted(((r["lang"], r["doc_id"], r["text"]) for r in texts.distinct().collect()), key=lambda r: (r[0], r[1], r[2]))
