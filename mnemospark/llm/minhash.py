@@ -1,8 +1,8 @@
 """MinHash fingerprints of whole texts.
 
-A text's five-word shingles are hashed; every universal hash function (a x + b modulo 2^64, upper bits) keeps its
-minimum over them, in vectorised numpy. The share of equal minima estimates the Jaccard similarity of two texts'
-shingle sets. For searches, bands of the signature are joined in Spark and Jaccard is verified on the sets themselves.
+A text's five-word shingles are hashed; every universal hash function (a x + b modulo 2^64) keeps its minimum over them,
+in vectorised numpy, as 16 bits that do not depend on the minimum's size, which shrinks as texts grow. The share of equal
+minima estimates the Jaccard similarity of two texts' shingle sets. For searches, bands of the signature are joined in Spark and Jaccard is verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ _RANDOM = np.random.default_rng(SEED)
 _A = _RANDOM.integers(0, 1 << 64, HASHES, np.uint64, endpoint=False) | np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 64, HASHES, np.uint64, endpoint=False)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 class Shingles:
@@ -57,13 +58,18 @@ class Shingles:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The upper 16 bits of every hash function's minimum; all ones without shingles."""
+    """16 bits of a mix of every hash function's minimum; all ones without shingles."""
+    if not len(shingles):
+        return np.full(HASHES, 0xFFFF, "<u2")
     low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), _CHUNK):
         value = _A[:, None] * shingles[None, i : i + _CHUNK]
         value += _B[:, None]
         np.minimum(low, value.min(axis=1), out=low)
-    return (low >> np.uint64(48)).astype("<u2")
+    # The minimum over n shingles is about 2^64 / n: only mixed do its bits tell texts of any length apart.
+    low = (low ^ (low >> np.uint64(30))) * _MIX[0]
+    low = (low ^ (low >> np.uint64(27))) * _MIX[1]
+    return ((low ^ (low >> np.uint64(31))) & np.uint64(0xFFFF)).astype("<u2")
 
 
 def likeness(left: np.ndarray, right: np.ndarray) -> float:

@@ -148,6 +148,17 @@ def test_minhash(spark, odd, empty):
     assert {(r.query_id, r.doc_id) for r in found} == {(0, 100), (100, 0)} and all(r.jaccard > 0.9 for r in found)
 
 
+@pytest.mark.parametrize("n", [20_000, 300_000])
+def test_minhash_of_long_texts(n):
+    """Minima shrink as texts grow; unrelated texts stay apart, and half a text stays half alike."""
+    left, right = (np.random.default_rng(i).integers(0, 1 << 64, n, np.uint64) for i in (1, 2))
+    prints = [minhash.signature(x) for x in (left, right, np.concatenate([left, right]))]
+    assert minhash.likeness(prints[0], prints[1]) <= 0.02
+    assert 0.3 < minhash.likeness(prints[0], prints[2]) < 0.7
+    texts = [" ".join(map(str, np.random.default_rng(i).integers(0, 50_000, n))) for i in (3, 4)]
+    assert minhash.likeness(*(minhash.signature(minhash.Shingles()(t)) for t in texts)) <= 0.02
+
+
 def test_sequences(spark, odd, empty, tmp_path):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     texts = ["", "Straße. x", "İ. é́ ..., <|endoftext|>. don't it's. x.y a.", prose(5000, 2), "中文。 ½ ٣٤"] * 3
