@@ -101,6 +101,26 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.common([1, 2, 3, 4], [2, 9, 4, 1]) == 2
 
 
+def test_leaks_recall(spark, monkeypatch):
+    """Whatever brute-force common subsequences confirm is found, verbatim and with a fifth of the words changed."""
+    monkeypatch.setattr(decontaminate, "SAMPLE", 20)
+    r = random.Random(11)
+    words = [f"w{int(r.paretovariate(0.6))}" for _ in range(20_000)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    items = {i: some(16 + i % 45) for i in range(90)}
+    rows, planted = [], []
+    for k in range(270):
+        copy = items[k % 90] if k < 90 else [r.choice(words) if r.random() < 0.2 else w for w in items[k % 90]]
+        rows.append((k, " ".join(some(20 + k % 37) + copy + some(150)), "en", "s", 1))
+        item = items[k % 90]
+        starts = sorted({*range(0, max(1, len(item) - 32), 16), max(0, len(item) - 32)})
+        if any(decontaminate.common(item[s : s + 32], copy[s : s + 32]) >= 0.75 * len(item[s : s + 32]) for s in starts):
+            planted.append((k, k % 90))
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(rows, SCHEMA), benchmark).collect()}
+    assert len(planted) > 200 and [x for x in planted if x not in found] == []
+
+
 def test_personal_data(odd, empty):
     assert pii.base_spans("a@b.co , +1 (487) 555-7209 , 1.2.3.4 , 4111 1111 1111 1111 , 999.1.1.1") == [
         ("email", 0, 6), ("phone", 9, 26), ("ip", 29, 36), ("card", 39, 58)]
