@@ -121,6 +121,28 @@ def test_leaks_recall(spark, monkeypatch):
     assert len(planted) > 200 and [x for x in planted if x not in found] == []
 
 
+def test_leaks_keep_the_rare_words(spark):
+    """A paraphrase keeps the words that few passages have, though other words share their hashed terms."""
+    names = [f"v{i}" for i in range(60_000)]
+    frame = spark.createDataFrame([(" ".join(names),)], "text string").select(decontaminate.words_of(F.col("text")))
+    by_term, hashes = {}, dict(zip(names, frame.first()[0]))
+    for n in names:
+        by_term.setdefault(hashes[n] & (decontaminate.TERMS - 1), []).append(n)
+    pairs = [v for v in by_term.values() if len(v) > 1][:4]
+    rare, loud = [v[0] for v in pairs], [v[1] for v in pairs]
+    taken = {h & (decontaminate.TERMS - 1) for h in (hashes[n] for n in rare)}
+    plain = [n for n in names if hashes[n] & (decontaminate.TERMS - 1) not in taken][:24]
+    item = [w for i in range(4) for w in (*plain[4 * i : 4 * i + 4], rare[i])]
+    changed = [f"x{i}" if i in (1, 3, 6, 8, 11, 13) else w for i, w in enumerate(item)]
+    lost = [f"x{i}" if i in (1, 3, 6, 8, 11, 14) else w for i, w in enumerate(item)]
+    rows = [(i, " ".join(loud * 8 + plain[16:]), "en", "s", 1) for i in range(40)]
+    rows += [(100 + i, prose(40, i) + " " + plain[i], "en", "s", 1) for i in range(16) for _ in range(6)]
+    rows += [(200, f"{prose(40, 3)} {' '.join(changed)} {prose(40, 4)}", "en", "s", 1)]
+    rows += [(201, f"{prose(40, 5)} {' '.join(lost)} {prose(40, 6)}", "en", "s", 1)]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(spark.createDataFrame(rows, SCHEMA), benchmark).collect()} == {200}
+
+
 def test_personal_data(odd, empty):
     assert pii.base_spans("a@b.co , +1 (487) 555-7209 , 1.2.3.4 , 4111 1111 1111 1111 , 999.1.1.1") == [
         ("email", 0, 6), ("phone", 9, 26), ("ip", 29, 36), ("card", 39, 58)]
