@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settled
+
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the trees are trained on, at most: of those with a digit or @ the smallest id hashes, whole texts.
+#: Different texts that the trees are trained on, at most: whole ones, a fifth of them for each kind that has base spans
+#: there and a fifth without any, each with the smallest hashes.
 SAMPLE = 1500
 #: The share of selected candidates that have to be right on the calibration rows.
 PRECISION = 0.98
@@ -312,12 +316,39 @@ def _finder(trees: Trees | None):
     return run
 
 
+def _kinds(text: str) -> int:
+    """Which kinds have base spans in the text, a bit each."""
+    return sum(1 << KINDS.index(k) for k in {k for k, _, _ in base_spans(text)})
+
+
+def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"h": batch["h"], "kinds": [_kinds(t) for t in batch["text"]]})
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Trees | None:
-    """Trees from the ``sample`` rows with a digit or @ that have the smallest id hashes; only those reach the driver."""
-    telling = F.col("text").rlike(r"[0-9@]")
-    ids = docs.filter(F.col("doc_id").isNotNull() & telling).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text").distinct().collect()
-    return train([r[1] for r in sorted(rows, key=lambda r: (r[0], r[1] or "")) if r[1]])
+    """Trees from at most ``sample`` different texts with a digit or @; only those reach the driver.
+
+    All rows are searched for base spans first, so that every kind has its share of the sample however rare it is, and
+    copies of a text count once. A warning says which kinds the corpus has no examples of, and if nothing was learned.
+    """
+    telling = docs.filter(F.col("text").rlike(r"[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
+    marked = settled(telling.mapInPandas(_marked, "h long, kinds int").groupBy("h").agg(F.max("kinds").alias("kinds")))
+    classes = [F.col("kinds").bitwiseAND(1 << k) != 0 for k in range(len(KINDS))] + [F.col("kinds") == 0]
+    parts = [marked.filter(c).orderBy("h").limit(max(3, sample // len(classes))).select("h") for c in classes]
+    picked = parts[0]
+    for part in parts[1:]:
+        picked = picked.unionByName(part)
+    rows = telling.join(F.broadcast(picked.distinct()), "h", "left_semi").distinct().collect()
+    # Texts with the same kinds follow each other, so each third has some.
+    found = sorted((_kinds(r["text"]), r["h"], r["text"]) for r in rows)
+    trees = train([t for _, _, t in found])
+    missing = [kind for k, kind in enumerate(KINDS) if not any(x[0] >> k & 1 for x in found)]
+    if trees is None or trees.threshold > 1:
+        warnings.warn(f"personal data: nothing learned from {len(found)} texts, only base spans are given", RuntimeWarning, stacklevel=2)
+    elif missing:
+        warnings.warn(f"personal data: no examples of {', '.join(missing)} to learn from", RuntimeWarning, stacklevel=2)
+    return trees
 
 
 def with_personal_data(docs: DataFrame, trees: Trees | None = None) -> DataFrame:

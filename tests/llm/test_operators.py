@@ -155,6 +155,17 @@ def test_personal_data(odd, empty):
     assert pii.with_personal_data(odd).filter("spans = '' AND n_email = 0").count() == 8 and pii.with_personal_data(empty).count() == 0
 
 
+def test_personal_data_learns_from_rare_rows(spark, odd):
+    """The sample holds personal data though nearly all rows with digits have none."""
+    rows = [(i, f"{prose(20, i)} a{i}@mail{i}.example.com {prose(9, i)} +1 (487) 555-{7000 + i} {prose(9, i + 1)} {i}.7.8.9 x") for i in range(60)]
+    rows += [(i, f"{prose(20, i)} {i} {prose(9, i)} {i * 7}") for i in range(100, 6000)] + [(i, "copy 12 " * 9) for i in range(6000, 9000)]
+    trees = pii.learn(spark.createDataFrame(rows, "doc_id long, text string"), sample=100)
+    assert trees is not None and trees.threshold <= 1
+    assert pii.all_spans("write to john (at) corp (dot) org now", [], trees) == [("email", 9, 33)]
+    with pytest.warns(RuntimeWarning, match="nothing learned"):
+        assert pii.learn(odd) is None
+
+
 def test_main_text():
     page = '<head><title>t</title></head><nav><li><a href="/x">x</a></nav><article><h1>A &amp; b</h1><p>one <b>two<br>\n three<p>four</article><div class="ad">buy</div><footer>f</footer>'
     labels = [(b.text, b.main) for b in mainpage.weak_labels(mainpage.blocks(page))]
