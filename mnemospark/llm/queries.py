@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licences, linededup, mainpage, minhash, mixing, pii, sequences, simhash
+from . import decontaminate, language, licences, linededup, mainpage, minhash, mixing, pii, sequences, simhash, trie
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -59,6 +59,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt_paths(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,5 +76,6 @@ QUERIES = {
         op8_sequences,
         op9_line_dedup,
         op10_mixing,
+        op11_prefix_trie,
     )
 }

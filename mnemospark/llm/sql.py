@@ -27,4 +27,25 @@ r AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.sou
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(u + rate * n) - floor(u + rate * (n - 1))) AS BIGINT) AS taken FROM r"""
 
-ORACLES = {"op5_licences": licences(), "op9_line_dedup": LINE_DEDUP, "op10_mixing": MIXING}
+#: The unsigned crc32 of a short ASCII text, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda x: ord(x)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+PREFIX_TRIE = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, substr(sha256(length(role) || ':' || role || text), 1, 32) || lpad(to_hex(length(text)), 8, '0') AS code FROM t),
+c AS (SELECT conv_id, list(code ORDER BY turn NULLS FIRST, code) AS codes FROM k GROUP BY conv_id),
+p AS (SELECT c.conv_id, list_concat(coalesce(b.codes[1:h], []), c.codes[h + 1:]) AS path
+  FROM (SELECT *, {CRC32.format("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM c) c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+m AS (SELECT conv_id, d, len(path) AS size, array_to_string(path[1:d], '') AS key FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM p)),
+n AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (d = size), '')) AS ends,
+  CASE WHEN d > 0 THEN left(key, 40 * (d - 1)) END AS up, CASE WHEN d > 0 THEN CAST('0x' || right(key, 8) AS BIGINT) ELSE 0 END AS length
+  FROM m GROUP BY key, d),
+q AS (SELECT up, count(*) AS children FROM n WHERE up IS NOT NULL GROUP BY up),
+s AS (SELECT left(key, 40 * a) AS key, sum((n - 1) * length) AS saved, count(*) FILTER (children IS NULL) AS leaves
+  FROM (SELECT n.*, q.children, unnest(range(d + 1)) AS a FROM n LEFT JOIN q ON q.up = n.key) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, o.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(q.children, 0) AS n_children, s.leaves AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN s ON s.key = n.key LEFT JOIN q ON q.up = n.key LEFT JOIN n o ON o.key = n.up"""
+
+ORACLES = {"op11_prefix_trie": PREFIX_TRIE, "op5_licences": licences(), "op9_line_dedup": LINE_DEDUP, "op10_mixing": MIXING}
