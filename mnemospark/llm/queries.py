@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licences, linededup, mainpage, minhash, mixing, pii, sequences, simhash, trie
+from . import collocations, decontaminate, language, licences, linededup, mainpage, minhash, mixing, pii, sequences, simhash, trie
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -63,6 +63,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.rebuilt_paths(table(spark, sf_dir, "conversations")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,5 +81,6 @@ QUERIES = {
         op9_line_dedup,
         op10_mixing,
         op11_prefix_trie,
+        op12_collocations,
     )
 }

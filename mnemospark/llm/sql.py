@@ -48,4 +48,22 @@ SELECT n.conv_id, n.d AS depth, o.conv_id AS parent_conv_id, n.n AS n_convs, coa
   CAST(s.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
 FROM n JOIN s ON s.key = n.key LEFT JOIN q ON q.up = n.key LEFT JOIN n o ON o.key = n.up"""
 
-ORACLES = {"op11_prefix_trie": PREFIX_TRIE, "op5_licences": licences(), "op9_line_dedup": LINE_DEDUP, "op10_mixing": MIXING}
+COLLOCATIONS = rf"""WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text, row_number() OVER () AS row
+  FROM documents),
+p AS (SELECT lang, row, generate_subscripts(a, 1) AS piece, unnest(a) AS t FROM (SELECT *, string_split_regex(text, '[.,;:!?\x0A-\x0D]') AS a FROM d)),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, ws[i:i + k - 1] AS ph FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, ph, count(*) AS a FROM g GROUP BY lang, ph),
+c AS (SELECT * FROM f WHERE a >= 30 AND len(ph) > 1),
+b AS (SELECT DISTINCT s.lang, s.ph FROM (SELECT lang, a, ph[i:i + k - 1] AS sub FROM
+    (SELECT *, unnest(range(1, len(ph) - k + 2)) AS i FROM (SELECT *, unnest(range(2, len(ph))) AS k FROM c WHERE len(ph) > 2))) x
+  JOIN c s ON s.lang = x.lang AND s.ph = x.sub WHERE 100::HUGEINT * x.a >= 80::HUGEINT * s.a),
+s AS (SELECT c.lang, c.ph, c.a, k, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+  FROM (SELECT *, unnest(range(1, len(ph))) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.ph = c.ph[1:k] JOIN f r ON r.lang = c.lang AND r.ph = c.ph[k + 1:]
+  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.lang = c.lang AND b.ph = c.ph)),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) AS cut, array_to_string(ph, ' ') AS phrase FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m WHERE cut = 1)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM o JOIN (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang) USING (lang) WHERE rank <= 2000"""
+
+ORACLES = {"op12_collocations": COLLOCATIONS, "op11_prefix_trie": PREFIX_TRIE, "op5_licences": licences(), "op9_line_dedup": LINE_DEDUP, "op10_mixing": MIXING}
