@@ -30,9 +30,9 @@ SHARE = 80
 SCALE = 2_000_000
 NO_LANG = "und"
 #: Words of a block, about (a text is never cut), and occurrences that a task counts before it gives partial counts.
-BLOCK, COUNTED = 1 << 16, 1 << 20
-#: Words whose keys a task remembers per language.
-REMEMBERED = 1 << 20
+BLOCK, COUNTED = 1 << 16, 1 << 19
+#: Words whose keys a task remembers.
+REMEMBERED = 1 << 18
 #: Bits per group of a bit set, and the most bits that any has (128 MB).
 BITS, MOST_BITS = 16, 1 << 30
 SEGMENT = 1 << 16
@@ -114,8 +114,11 @@ def _reader(seed: int) -> Callable:
                 if words.size >= BLOCK:
                     if row := words.relation():
                         yield row
-                    if len(words) > REMEMBERED:
-                        yield from known.pop(lang).totals()
+                    if sum(map(len, known.values())) > REMEMBERED:
+                        full = known.pop(max(known, key=lambda x: len(known[x])))
+                        if full.block and (row := full.relation()):
+                            yield row
+                        yield from full.totals()
         for words in known.values():
             if words.block and (row := words.relation()):
                 yield row
