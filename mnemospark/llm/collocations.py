@@ -13,12 +13,13 @@ passes by chance is counted and then fails the exact count, as every part of a f
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settled
@@ -36,6 +37,9 @@ REMEMBERED = 1 << 18
 #: Bits per group of a bit set, and the most bits that any has (128 MB).
 BITS, MOST_BITS = 16, 1 << 30
 SEGMENT = 1 << 16
+#: Blocks travel to Python in batches of about this size, whatever the session's setting: two tasks hold a few of them.
+BATCH = "8m"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _BREAK = b"\xff"  # in no UTF-8 text
 _BYTES = bytes(_BREAK[0] if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -257,12 +261,24 @@ def _keeper(length: int, first: BitSet | None, frequent: BitSet) -> Callable:
     return run
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_BATCH_BYTES, None)
+    spark.conf.set(_BATCH_BYTES, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_BYTES) if before is None else spark.conf.set(_BATCH_BYTES, before)
+
+
 def _words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The occurrences and the table of all words (lang, word, key, n). Keys are different for different words: in the
     unlikely case that two of 2^64 meet, the next seed is taken."""
     for seed in range(8):
         rows = occurrences(docs, seed)
-        counts = rows.filter("word IS NOT NULL").groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
+        # A task's counts are added up already, so they are dealt out first and added up once.
+        parts = rows.filter("word IS NOT NULL").select("lang", "word", "key", "n").repartition("lang", "word", "key")
+        counts = parts.groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
         words = settled(counts)
         if words.groupBy("key").count().filter("count > 1").isEmpty():
             return rows.filter("w IS NOT NULL").select("gap", "w"), words
@@ -279,7 +295,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     for length in range(2, longest + 1):
         names = [f"w{i + 1}" for i in range(length)]
         schema = ", ".join(f"{c} long" for c in [*names, "n"])
-        counts = relation.mapInArrow(_counter(length, first), schema).groupBy(*names).agg(F.sum("n").alias("n"))
+        parts = relation.mapInArrow(_counter(length, first), schema).repartition(*names)
+        counts = parts.groupBy(*names).agg(F.sum("n").alias("n"))
         found.append(settled(counts.filter(F.col("n") >= least)))
         if length < longest:
             relation = settled(relation.mapInArrow(_keeper(length, first, bit_set(found[-1], length)), _RELATION))
@@ -304,8 +321,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sh
     frequent phrase that holds it has ``share`` percent of its occurrences. Order: score, a (largest first), phrase.
     Columns: lang, rank, phrase, a, l, r, n (words of the language), score. An empty table gives no rows.
     """
-    phrases, words = frequent_phrases(docs, least, longest)
-    phrases = settled(phrases)
+    with _small_batches(docs.sparkSession):
+        phrases, words = frequent_phrases(docs, least, longest)
+        phrases = settled(phrases)
     size = F.size("phrase")
     several = phrases.filter(size > 1).withColumnRenamed("n", "a")
     spans = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.slice("phrase", i, k)))))
