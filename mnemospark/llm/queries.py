@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, language, licences, linededup, mainpage, minhash, mixing, pii, sequences, simhash, trie
+from . import collocations, decontaminate, language, licences, linededup, mainpage, minhash, mixing, packing, pii, sequences, simhash, trie
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
+PACKING_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,5 +88,6 @@ QUERIES = {
         op10_mixing,
         op11_prefix_trie,
         op12_collocations,
+        op13_packing,
     )
 }
