@@ -28,7 +28,7 @@ from .common import settled
 #: Tokens of a sequence; lengths that make one class; the id that ends a document.
 LENGTH, GRAIN, END_ID = 2048, 8, 1
 #: Chunks of text whose ids a task remembers, and texts encoded together.
-REMEMBERED, TOGETHER = 1 << 19, 256
+REMEMBERED, TOGETHER = 1 << 20, 256
 _GAP = 1e-4
 
 _ENCODED = "doc_id long, ids binary, n long, block int, nth long, before long"
@@ -39,20 +39,42 @@ _PIECE = pa.schema([(c, pa.binary() if c == "ids" else pa.int64()) for c in ("do
 # Token ids
 
 
+#: How the vocabulary writes a blank, and signs that are neither letters nor numbers nor start a contraction.
+_BLANK, _SIGNS = "\u0120", ".,;:!?#$%&*()[]{}-_=+/@^~\""
 _RUNS = regex.compile(r"\s\s")
 _SPACED = regex.compile(r"(\s*)(\S+)")
 
 
+class _Numbers(dict):
+    """Chunks in the order of their coming; number 0 ends a document."""
+
+    def __init__(self):
+        super().__init__({None: 0})
+        self.order: list[str | None] = [None]
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self.order)
+        self.order.append(chunk)
+        return n
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit integers. A byte-level tokenizer of this kind never joins what is before a blank that
-    follows a visible character with what comes after it, so texts are encoded chunk by chunk and chunks are remembered."""
+    follows a visible character with what comes after it, so texts are encoded chunk by chunk. Chunks are numbered, and the ids
+    of the numbers of many texts are gathered together from one array."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.starts[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(_BLANK)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.ids = _Numbers(), np.array([END_ID], "<u4")
+        self.begin, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def chunks(self, text: str) -> list[str]:
         """Where single blanks and line ends stand between visible characters, the text is cut before a blank and on both sides
@@ -65,24 +87,62 @@ class Encoder:
             size += len(gap) + len(word)
         return [*out, text[size:]] if size < len(text) else out
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of words that start with a blank, encoded as one text and cut at the tokens that start with one."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.starts[ids])
+        if len(cuts) == len(words) and cuts[0] == 0:
+            return ids, np.diff(np.append(cuts, len(ids)))
+        return self._apart(words)
+
+    def _apart(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[numbers]
+        shift = self.begin[numbers] - (np.cumsum(size) - size)
+        return self.ids[np.repeat(shift, size) + np.arange(int(size.sum()))], size
+
+    def _store(self, numbers: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        if numbers:
+            size = np.concatenate([n for _, n in found])
+            self.begin[numbers], self.size[numbers] = len(self.ids) + np.cumsum(size) - size, size
+            self.ids = np.concatenate([self.ids, *[ids for ids, _ in found]])
+
+    def _learn(self) -> None:
+        """Encode the chunks that have numbers but no ids yet: words together, signs at their ends alone."""
+        numbers, order, known = self.numbers, self.numbers.order, len(self.size)
+        ends = {i: (numbers[e[0]], numbers[e[1]]) for i in range(known, len(order)) if len(e := _ends(order[i])) > 1}
+        blank = np.zeros(len(order) - known, np.int64)
+        self.begin, self.size = np.concatenate([self.begin, blank]), np.concatenate([self.size, blank])
+        simple = [i for i in range(known, len(order)) if i not in ends]
+        words = [i for i in simple if order[i][:1] == " " and order[i][1:].isalpha()]
+        rest = sorted(set(simple).difference(words))
+        for some, encode in ((words, self._words), (rest, self._apart)):
+            parts = [some[i : i + 512] for i in range(0, len(some), 512)]
+            self._store(some, [encode([order[i] for i in part]) for part in parts])
+        if ends:
+            ids, size = self._gather(np.array(list(ends.values())).ravel())
+            self._store(list(ends), [(ids, size.reshape(-1, 2).sum(axis=1))])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, parts = self.known, [self.chunks(t) for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = {c: _ends(c) for c in set(chain.from_iterable(parts)).difference(known)}
-        fresh = list({p for ps in new.values() for p in ps}.difference(known))
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, coded))
-        known.update((c, b"".join(map(known.__getitem__, ps))) for c, ps in new.items())
-        end = END_ID.to_bytes(4, "little")
-        return [b"".join(map(known.__getitem__, p)) + end for p in parts]
+        if len(self.numbers) > REMEMBERED:
+            self._forget()
+        parts = [[*self.chunks(t), None] for t in texts]
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
+        if len(self.numbers) > len(self.size):
+            self._learn()
+        ids, size = self._gather(numbers)
+        ends = np.cumsum(size)[np.cumsum(n) - 1].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
 
 def _ends(chunk: str) -> tuple[str, ...]:
-    """A stop or comma after a plain letter is a piece of its own."""
-    return (chunk[:-1], chunk[-1]) if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isascii() and chunk[-2].isalpha() else (chunk,)
+    """Signs after a letter, up to the end of the chunk, are encoded alone: the tokenizer cuts there."""
+    word = chunk.rstrip(_SIGNS)
+    return (word, chunk[len(word) :]) if word and len(word) < len(chunk) and word[-1].isalpha() and word[-1] < "\u0250" else (chunk,)
 
 
 _encoders: dict[str, Encoder] = {}
