@@ -83,3 +83,33 @@ def call_cost(
         + cache_read_tokens * input_price * CACHE_READ_RATE
     )
     return F.coalesce(total / 1_000_000, F.lit(0.0))
+
+
+def call_cost_units(
+    input_price: Column,
+    output_price: Column,
+    input_tokens: Column,
+    output_tokens: Column,
+    cache_write_tokens: Column,
+    cache_read_tokens: Column,
+) -> Column:
+    """Millionths of a dollar of one call as DECIMAL(32, 8), so that sums are exact and hang on no order.
+
+    Prices count to the sixth digit, tokens up to twelve digits.
+    """
+
+    def part(tokens: Column, price: Column, rate: float) -> Column:
+        product = tokens.cast("decimal(12,0)") * price.cast("decimal(12,6)") * F.lit(rate).cast("decimal(3,2)")
+        return F.coalesce(product, F.lit(0)).cast("decimal(29,8)")
+
+    return (
+        part(input_tokens, input_price, 1)
+        + part(output_tokens, output_price, 1)
+        + part(cache_write_tokens, input_price, CACHE_WRITE_RATE)
+        + part(cache_read_tokens, input_price, CACHE_READ_RATE)
+    )
+
+
+def dollars(units: Column) -> Column:
+    """A sum of ``call_cost_units`` in dollars, DECIMAL(32, 14)."""
+    return units.cast("decimal(24,8)") * F.lit("0.000001").cast("decimal(7,6)")

@@ -228,6 +228,13 @@ def x8(spark, sf):
 COST = """ CAST(coalesce((input_tokens * input_price + output_tokens * output_price + coalesce(cache_write_tokens, 0) * input_price * 1.25
  + coalesce(cache_read_tokens, 0) * input_price * 0.1) / 1000000, 0) AS DOUBLE)"""
 
+#: The same in millionths of a dollar and exact, and a sum of it in dollars.
+COST_UNITS = """ (CAST(coalesce(input_tokens, 0) AS DECIMAL(12,0)) * CAST(coalesce(input_price, 0) AS DECIMAL(12,6)) * CAST(1 AS DECIMAL(3,2))
+ + CAST(coalesce(output_tokens, 0) AS DECIMAL(12,0)) * CAST(coalesce(output_price, 0) AS DECIMAL(12,6)) * CAST(1 AS DECIMAL(3,2))
+ + CAST(coalesce(cache_write_tokens, 0) AS DECIMAL(12,0)) * CAST(coalesce(input_price, 0) AS DECIMAL(12,6)) * CAST(1.25 AS DECIMAL(3,2))
+ + CAST(coalesce(cache_read_tokens, 0) AS DECIMAL(12,0)) * CAST(coalesce(input_price, 0) AS DECIMAL(12,6)) * CAST(0.1 AS DECIMAL(3,2)))"""
+COST_SUM = f" (CAST(sum({COST_UNITS}) AS DECIMAL(24,8)) * CAST(0.000001 AS DECIMAL(7,6)))"
+
 
 @query(
     "J9_usage_pricing_join",
@@ -240,20 +247,20 @@ def j9(spark, sf):
 
 @query(
     "A9_cost_totals",
-    with_tables("usage prices", f" SELECT model, count(*) AS calls, round(sum({COST}), 6) AS cost_usd FROM usage LEFT JOIN prices USING (model) GROUP BY ROLLUP (model)"),
+    with_tables("usage prices", f" SELECT model, count(*) AS calls, CAST(round({COST_SUM}, 6) AS DOUBLE) AS cost_usd FROM usage LEFT JOIN prices USING (model) GROUP BY ROLLUP (model)"),
 )
 def a9(spark, sf):
     priced = cost.usage_pricing_join(bind(spark, sf, "usage"), bind(spark, sf, "prices"))
-    return cost.cost_totals(priced).withColumn("cost_usd", F.round("cost_usd", 6))
+    return cost.cost_totals(priced, 6)
 
 
 @query(
     "A10_cost_cap_flag",
-    with_tables("usage prices", f" SELECT turn_id, round(sum({COST}), 9) AS cost_usd FROM usage LEFT JOIN prices USING (model) GROUP BY 1 HAVING sum({COST}) > 0.002"),
+    with_tables("usage prices", f" SELECT turn_id, CAST({COST_SUM} AS DOUBLE) AS cost_usd FROM usage LEFT JOIN prices USING (model) GROUP BY 1 HAVING {COST_SUM} > 0.002"),
 )
 def a10(spark, sf):
     priced = cost.usage_pricing_join(bind(spark, sf, "usage"), bind(spark, sf, "prices"))
-    return cost.over_cap(priced, 0.002).withColumn("cost_usd", F.round("cost_usd", 9))
+    return cost.over_cap(priced, 0.002)
 
 
 @query(
