@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,12 +31,18 @@ EPOCHS = 3
 SEED = 11
 _GROUP = 64
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 #: Content that is never text of the page.
 _RAW = frozenset("script style noscript template textarea title svg iframe".split())
+#: Of these, the ones that a page goes on after if their end tag is missing; after the others browsers take the rest for content.
+_OPEN_RAW = frozenset("noscript template svg".split())
+#: Elements around a block that its path names, the innermost ones.
+DEPTH = 64
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -53,45 +60,83 @@ class Block:
 class _Reader:
     blocks: list[Block] = field(default_factory=list)
     stack: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
+    open: Counter = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
         if text:
-            path = tuple(n for _, names in self.stack for n in names)
+            path = tuple(n for _, names in self.stack[-DEPTH:] for n in names)
             self.blocks.append(Block(path, text, min(1.0, self.linked / len(text))))
         self.parts, self.linked = [], 0
 
+    def push(self, tag: str, names: list[str]) -> None:
+        self.stack.append((tag, tuple(names)))
+        self.open[tag] += 1
+
+    def cut(self, where: int) -> None:
+        self.open.subtract(tag for tag, _ in self.stack[where:])
+        del self.stack[where:]
+
+
+def _markup(page: str, at: int) -> tuple[int, int, re.Match | None]:
+    """The next piece of markup from ``at`` on: its start, its end, and the match if it is a tag. A sign that starts nothing is
+    text. Every step goes past a ``>``, or there is none left, so a page is read in about one pass."""
+    while (start := page.find("<", at)) >= 0:
+        after = page[start + 1 : start + 4]
+        if after == "!--":
+            return start, _COMMENT.match(page, start).end(), None
+        if not after or not (after[0] in "!?" or (after[1:] if after[0] == "/" else after)[:1].isalpha()):
+            at = start + 1
+            continue
+        close = page.find(">", start)
+        if close < 0:
+            break
+        if after[0] in "!?":
+            return start, close + 1, None
+        # A quote that is never closed hides no end of a tag.
+        match = _TAG.match(page, start) or _PLAIN_TAG.match(page, start)
+        if match:
+            return start, match.end(), match
+        at = start + 1
+    return len(page), len(page), None
+
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a whole page, in order. White space and character references are resolved; unclosed and stray
-    tags are borne as browsers do for paragraphs and list items."""
+    tags are borne as browsers do for paragraphs and list items. A script, style, textarea, title or iframe without an end takes
+    the rest of the page, as in browsers; a noscript, template or svg without one, or closed by itself, takes nothing."""
     page, out, at = page or "", _Reader(), 0
-    in_link = 0
+    endless: set[str] = set()
     while True:
-        match = _TOKEN.search(page, at)
-        piece = page[at : match.start() if match else len(page)]
+        start, end, match = _markup(page, at)
+        piece = page[at:start]
         if piece and not any(tag == "head" for tag, _ in out.stack[-2:]):
             out.parts.append(piece)
-            out.linked += len(piece) if in_link else 0
-        if not match:
+            out.linked += len(piece) if out.open["a"] > 0 else 0
+        if start == len(page):
             break
-        at = match.end()
-        tag = (match[2] or "").lower()
-        if not tag:
+        at = end
+        if not match:
             continue
+        tag = match[2].lower()
         if match[1]:
             if tag not in _INLINE:
                 out.flush()
-            where = next((i for i in range(len(out.stack) - 1, -1, -1) if out.stack[i][0] == tag), -1)
-            if where >= 0:
-                del out.stack[where:]
-            in_link = in_link and any(t == "a" for t, _ in out.stack)
+            if out.open[tag] > 0:
+                out.cut(next(i for i in range(len(out.stack) - 1, -1, -1) if out.stack[i][0] == tag))
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if tag == "svg" and match[3].endswith("/"):
+                continue
+            found = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if found:
+                at = found.end()
+            elif tag in _OPEN_RAW:
+                endless.add(tag)
+            else:
+                at = len(page)
             continue
         if tag == "br":
             out.parts.append(" ")
@@ -100,7 +145,7 @@ def blocks(page: str | None) -> list[Block]:
             closed = ("p",) if tag in _CLOSES_P else (tag,) if tag in ("li", "dt", "dd", "tr", "td", "th", "option") else ()
             for i in range(len(out.stack) - 1, -1, -1):
                 if out.stack[i][0] in closed:
-                    del out.stack[i:]
+                    out.cut(i)
                     break
                 if out.stack[i][0] not in _INLINE:
                     break
@@ -110,8 +155,7 @@ def blocks(page: str | None) -> list[Block]:
         if match[3]:
             for m in _NAMES.finditer(match[3]):
                 names += [f".{w.lower()}" for w in re.split(r"[\s_-]+", m[2] or m[3] or m[4] or "") if w]
-        out.stack.append((tag, tuple(names)))
-        in_link = in_link or tag == "a"
+        out.push(tag, names)
     out.flush()
     return out.blocks
 
