@@ -8,10 +8,11 @@ never hangs on the order of summation. Equal scores rank by id.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,12 @@ CHANNELS = ("vector", "bm25", "entity", "chronological")
 SCORE_DIGITS = 9
 VECTOR_DIGITS = 12
 QUERY_STEP = 64
+#: Postings per result that the first terms of a query may have.
+FIRST_POSTINGS = 10
+#: Share of the threshold that the terms not read in full may add together.
+ESSENTIAL = 0.5
+#: What sums of doubles may differ by.
+BOUND_SLACK = 1e-6
 
 
 # --- keyword channel ---------------------------------------------------------
@@ -76,6 +83,99 @@ def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
     )
 
 
+@dataclass
+class KeywordIndex:
+    """A written keyword index.
+
+    ``postings``: term, id, doc_len, tf, and one row per document with the term ``''``, which no text has. ``terms``: term,
+    df and ``top``, the most that one occurrence of the term in a query can add to any document's score, before its weight.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
+    n_docs: int
+    avg_len: float
+    k1: float = BM25_K1
+    b: float = BM25_B
+
+    def part(self) -> Column:
+        """A posting's share of a score, before the weight of the term."""
+        norm = (1 - self.b) + self.b * F.col("doc_len") / F.lit(self.avg_len if self.avg_len > 0 else 1.0)
+        return F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * norm)
+
+
+def keyword_index(
+    docs: DataFrame,
+    id: str = "id",
+    text: str = "text",
+    terms: DataFrame | None = None,
+    k1: float = BM25_K1,
+    b: float = BM25_B,
+) -> KeywordIndex:
+    """Index ``docs``, for the terms of the table ``terms`` if it is given. Texts are tokenized once: lengths and postings
+    come from the same rows. The driver gets the number of documents and tokens."""
+    tokens = docs.select(F.col(id).alias("id"), tokenize(F.coalesce(text, F.lit(""))).alias("_t"))
+    rows = tokens.select("id", F.size("_t").cast("bigint").alias("doc_len"), F.explode_outer(F.array_append("_t", "")).alias("term"))
+    if terms is not None:
+        every = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+        rows = rows.join(every.distinct(), "term", "left_semi")
+    postings = settled(rows.groupBy("term", "id", "doc_len").agg(F.count(F.lit(1)).alias("tf")))
+    whole = postings.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("total")).first()
+    out = KeywordIndex(postings, postings, whole.n, (whole.total or 0) / max(1, whole.n), k1, b)
+    found = postings.filter("term <> ''").groupBy("term")
+    out.terms = settled(found.agg(F.count(F.lit(1)).alias("df"), F.max(out.part()).alias("top")))
+    return out
+
+
+def search_index(index: KeywordIndex, queries: DataFrame, k: int = CHANNEL_TOP_K, measure: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the exact ``k`` best documents of every query, by bounds on what terms can add.
+
+    1. A query's terms come in the order of the most they can add. The first ones, up to a number of postings, rank documents;
+       the best of these are scored whole, and the k-th of their scores is the query's threshold.
+    2. The last terms that cannot reach half the threshold together are not essential: a document of the result has enough
+       from the others. So only essential terms' postings are read; documents that stay below the threshold even with all that
+       the rest can add are dropped.
+    3. What is left looks up its postings of the other terms.
+
+    ``measure`` gets the name and table of each step, for reports.
+    """
+    wanted = query_terms(queries).join(index.terms, "term")
+    idf = F.log((index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    wanted = wanted.select("query_id", "term", (F.col("times") * idf).alias("w"), "df", (F.col("times") * idf * F.col("top")).alias("most"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
+    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    wanted = wanted.withColumn("read", F.coalesce(F.sum("df").over(before), F.lit(0))).withColumn("rest", F.sum("most").over(onward))
+    wanted = settled(wanted)
+    parts = index.postings.select("term", "id", index.part().alias("part"))
+
+    def added(terms: DataFrame) -> DataFrame:
+        rows = parts.join(terms.select("query_id", "term", "w"), "term")
+        return rows.groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("part")).alias("sum"))
+
+    def looked_up(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        """The postings of ``terms`` for (query, document) pairs only."""
+        asked = pairs.select("query_id", "id").join(terms.select("query_id", "term", "w"), "query_id")
+        return asked.join(parts, ["term", "id"]).groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("part")).alias("sum"))
+
+    first = top_per_key(added(wanted.filter(F.col("read") < FIRST_POSTINGS * k)), ["query_id"], 2 * k, F.desc("sum"), F.col("id"))
+    scored = top_per_key(looked_up(first, wanted), ["query_id"], k, F.desc("sum"), F.col("id"))
+    thresholds = scored.filter(F.col("rank") == k).select("query_id", (F.col("sum") - BOUND_SLACK).alias("least"))
+    bounded = wanted.join(thresholds, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    bounded = settled(bounded.withColumn("essential", F.col("rest") >= F.col("least") * ESSENTIAL))
+    others = bounded.filter("NOT essential")
+    left = bounded.groupBy("query_id").agg(
+        F.first("least").alias("least"), F.coalesce(F.max(F.when(~F.col("essential"), F.col("rest"))), F.lit(0.0)).alias("more")
+    )
+    kept = added(bounded.filter("essential")).join(left, "query_id").filter(F.col("sum") + F.col("more") >= F.col("least"))
+    kept = settled(kept.select("query_id", "id", "sum"))
+    total = kept.unionByName(looked_up(kept, others)).groupBy("query_id", "id").agg(F.round(F.sum("sum"), SCORE_DIGITS).alias("score"))
+    if measure:
+        measure("essential", parts.join(bounded.filter("essential"), "term"))
+        measure("kept", kept)
+    ranked = top_per_key(total, ["query_id"], k, F.col("score").desc(), F.col("id"))
+    return ranked.withColumn("rank", F.col("rank") - 1)
+
+
 def bm25_search(
     docs: DataFrame,
     queries: DataFrame,
@@ -85,15 +185,9 @@ def bm25_search(
     k1: float = BM25_K1,
     b: float = BM25_B,
 ) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` best documents of every query.
-
-    The postings of the queries' terms are written once; document frequencies and scores read them.
-    """
-    wanted = query_terms(queries)
-    matched = settled(bm25_postings(docs, id, text, wanted.select("term").distinct()))
-    df = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    totals = bm25_docs(docs, id, text).agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")))
-    return bm25_rank(matched, df, wanted, totals.scalar(), k, k1, b)
+    """(query_id, id, score, rank): the ``k`` best documents of every query, by an index of the queries' terms."""
+    wanted = query_terms(queries).select("term").distinct()
+    return search_index(keyword_index(docs, id, text, wanted, k1, b), queries, k)
 
 
 def bm25_rank(

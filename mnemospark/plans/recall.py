@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +27,19 @@ class MemoryTables:
 
     ``assets``: id, kind, network, viewpoint_holder, content, recency_key, body
     (the text to search), and ``tokens`` if stored. ``refs``: asset_id, entity_id. ``names``: name,
-    entity_id, reg_seq. ``lore``: id, network, viewpoint_holder, embedding.
+    entity_id, reg_seq. ``lore``: id, network, viewpoint_holder, embedding. ``index``: the written keyword index of all bodies,
+    if there is one (``keyword_index(assets, text="body")``); otherwise each recall indexes the terms of its queries.
     """
 
     assets: DataFrame
     refs: DataFrame | None = None
     names: DataFrame | None = None
     lore: DataFrame | None = None
+    index: retrieve.KeywordIndex | None = None
+
+    def indexed(self) -> MemoryTables:
+        """The same tables with a written keyword index, for many recalls over one state of the memory."""
+        return replace(self, index=retrieve.keyword_index(self.assets, text="body"))
 
 
 def fusion_recall(
@@ -61,7 +67,10 @@ def fusion_recall(
         have = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector")
         ranked["vector"] = retrieve.vector_topk(scoped, have, channel_k)
     if "bm25" in on:
-        ranked["bm25"] = retrieve.bm25_search(memory.assets, queries, channel_k, text="body")
+        if memory.index is not None:
+            ranked["bm25"] = retrieve.search_index(memory.index, queries, channel_k)
+        else:
+            ranked["bm25"] = retrieve.bm25_search(memory.assets, queries, channel_k, text="body")
     if "entity" in on and memory.names is not None and memory.refs is not None:
         said = mentions(queries, memory.names, id="query_id", text="query").withColumnRenamed("id", "query_id")
         ranked["entity"] = retrieve.entity_channel(said, memory.refs, channel_k)
