@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..schema import ANCHOR
 from .extract import mention_key
 from .lineage import settled
-from .ordering import CHUNK, listed
+from .ordering import CHUNK, listed, with_running
 
 OUTCOMES = ("created", "bumped", "merged", "state_changed")
 
@@ -28,18 +28,27 @@ OUTCOMES = ("created", "bumped", "merged", "state_changed")
 
 
 def evidence(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, turn_id, quote, char_start, char_end, first_seq): anchors without repeats, the first span kept.
+    """(keys, turn_id, quote, char_start, char_end, first_seq, copy): the first span of every (turn, quote), as ``copy`` 0.
 
-    ``rows`` has the keys, ``seq`` and ``anchors``.
+    The first witness of a key keeps all its anchors, so those that it repeats come once more each, as ``copy`` 1 and up;
+    what later witnesses repeat is left out. ``rows`` has the keys, ``seq`` and ``anchors``.
     """
+    rows = rows.select(*keys, "seq", "anchors")
+    names = F.transform("anchors", lambda a: F.struct(a["turn_id"], a["quote"]))
     flat = rows.select(*keys, "seq", F.posexplode("anchors").alias("_p", "_a"))
     first = F.struct("seq", "_p", "_a.char_start", "_a.char_end")
-    return (
+    once = (
         flat.select(*keys, F.col("_a.turn_id").alias("turn_id"), F.col("_a.quote").alias("quote"), first.alias("_f"))
         .groupBy(*keys, "turn_id", "quote")
         .agg(F.min("_f").alias("_f"))
-        .select(*keys, "turn_id", "quote", "_f.char_start", "_f.char_end", F.col("_f.seq").alias("first_seq"))
+        .select(*keys, "turn_id", "quote", "_f.char_start", "_f.char_end", F.col("_f.seq").alias("first_seq"), F.lit(0).alias("copy"))
     )
+    witnesses = rows.groupBy(*keys).agg(F.min("seq").alias("seq"))
+    repeating = rows.filter(F.size(F.array_distinct(names)) < F.size("anchors")).join(witnesses, [*keys, "seq"], "left_semi")
+    again = repeating.select(*keys, "seq", F.posexplode("anchors").alias("_p", "_a")).select(*keys, "seq", "_p", "_a.*")
+    nth = F.row_number().over(Window.partitionBy(*keys, "turn_id", "quote").orderBy("_p"))
+    again = again.withColumn("copy", nth - 1).filter("copy > 0")
+    return once.unionByName(again.select(*keys, "turn_id", "quote", "char_start", "char_end", F.col("seq").alias("first_seq"), "copy"))
 
 
 def nest_anchors(table: DataFrame, proof: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,12 +118,13 @@ def with_witnesses(table: DataFrame, proof: DataFrame, key: str) -> DataFrame:
 
 
 def merge_evidence(proof: DataFrame, keys: list[str]) -> DataFrame:
-    """Evidence of several batches as one: the first span of every (turn, quote)."""
-    return (
-        proof.groupBy(*keys, "turn_id", "quote")
-        .agg(F.min(F.struct("first_seq", "char_start", "char_end")).alias("_f"))
-        .select(*keys, "turn_id", "quote", "_f.char_start", "_f.char_end", "_f.first_seq")
-    )
+    """Evidence of several batches as one: the first span of every (turn, quote), and the copies of the very first witness."""
+    names = ("turn_id", "quote", "copy")
+    merged = proof.groupBy(*keys, *names).agg(F.min(F.struct("first_seq", "char_start", "char_end")).alias("_f"))
+    merged = merged.select(*keys, "turn_id", "quote", "_f.char_start", "_f.char_end", "_f.first_seq", "copy")
+    witnesses = proof.groupBy(*keys).agg(F.min("first_seq").alias("first_seq"))
+    copies = merged.filter("copy > 0").join(witnesses, [*keys, "first_seq"], "left_semi")
+    return merged.filter("copy = 0").unionByName(copies)
 
 
 def dedup_rows(arrivals: DataFrame) -> Deduped:
@@ -136,18 +146,51 @@ def dedup_atomic(arrivals: DataFrame) -> Deduped:
     return Deduped(with_witnesses(d.assets, d.evidence, "dedup_key"), d.evidence)
 
 
+def first_ids(rows: DataFrame, key: str) -> DataFrame:
+    """(key, id): of every key the id that came first, from rows with the key, ``id`` and ``first_seq``.
+
+    The least ``first_seq`` is found by hashing, and its id by an equi-join.
+    """
+    least = rows.groupBy(key).agg(F.min("first_seq").alias("first_seq"))
+    return rows.select(key, "first_seq", "id").join(least, [key, "first_seq"]).select(key, "id").dropDuplicates([key])
+
+
+def _told(rows: DataFrame, key: str, known: DataFrame | None) -> DataFrame:
+    """Rows of (seq, id, key) with ``arrival_id``, the ``id`` of the stored asset they went into, and whether they made it."""
+    firsts = rows.groupBy(key).agg(F.min("seq").alias("seq"))
+    own = firsts.join(rows.select("seq", F.col("id").alias("own_id")), "seq").withColumnRenamed("seq", "own_seq")
+    if known is None:
+        own = own.withColumn("known_id", F.lit(None).cast("string"))
+    else:
+        own = own.join(known.select(key, F.col("id").alias("known_id")), key, "left")
+    rows = rows.withColumnRenamed("id", "arrival_id").join(own, key)
+    made = F.col("known_id").isNull() & (F.col("seq") == F.col("own_seq"))
+    return rows.select("seq", F.coalesce("known_id", "own_id").alias("id"), "arrival_id", made.alias("made"))
+
+
 def atomic_outcomes(arrivals: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(seq, id, outcome): created for the first witness of a signature, bumped for the rest.
+    """(seq, id, arrival_id, outcome): created for the first witness of a signature, bumped for the rest.
 
-    Marks meet the arrivals by ``seq``. ``known`` lists signatures
-    (``dedup_key``) already stored.
+    ``id`` names the stored asset, which is the first witness's. ``known`` lists signatures already stored (``dedup_key``, ``id``).
     """
     keyed = settled(arrivals.select("seq", "id", mention_key(arrivals).alias("dedup_key")))
-    firsts = keyed.groupBy("dedup_key").agg(F.min("seq").alias("seq"))
-    if known is not None:
-        firsts = firsts.join(known.select("dedup_key"), "dedup_key", "left_anti")
-    marks = firsts.select("seq", F.lit("created").alias("_o"))
-    return keyed.join(marks, "seq", "left").select("seq", "id", F.coalesce("_o", F.lit("bumped")).alias("outcome"))
+    told = _told(keyed, "dedup_key", known)
+    return told.select("seq", "id", "arrival_id", F.when(F.col("made"), "created").otherwise("bumped").alias("outcome"))
+
+
+def bump_details(arrivals: DataFrame) -> DataFrame:
+    """(seq, previous_relevance, new_relevance, added_anchors) of every arrival that bumps the asset of an earlier one.
+
+    Relevance counts the arrivals before it, chunk by chunk for keys of any size; an anchor is added by the first arrival that
+    has it.
+    """
+    keyed = settled(arrivals.select("seq", "relevance", mention_key(arrivals).alias("dedup_key"), F.col("provenance.raw_quote_anchors").alias("anchors")))
+    running = with_running(keyed.select("dedup_key", "seq"), ["dedup_key"], "seq")
+    firsts = running.filter("ordinal = 1").select("dedup_key", "seq").join(keyed.select("seq", F.col("relevance").alias("_r")), "seq").drop("seq")
+    added = evidence(keyed, ["dedup_key"]).groupBy(F.col("first_seq").alias("seq")).agg(F.count(F.lit(1)).alias("added_anchors"))
+    rows = running.filter("ordinal > 1").join(firsts, "dedup_key").join(added, "seq", "left")
+    new = F.col("_r") + F.col("ordinal") - 1
+    return rows.select("seq", (new - 1).alias("previous_relevance"), new.alias("new_relevance"), F.coalesce("added_anchors", F.lit(0)).alias("added_anchors"))
 
 
 # --- attributes ---------------------------------------------------------------
@@ -535,26 +578,24 @@ def card_changes(
 
 
 def card_outcomes(cards: DataFrame, changes: DataFrame, aliases: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(seq, id, outcome) per arriving card: created, state_changed, merged (new key or alias) or bumped.
+    """(seq, id, arrival_id, outcome) per arriving card: created, state_changed, merged (new key or alias) or bumped.
 
-    ``aliases`` are those that first arrived with these cards.
+    ``id`` names the stored card. ``aliases`` are those that first arrived with these cards; ``known`` lists cards already
+    stored (``entity_id``, ``id``).
     """
     marks = changes.groupBy("seq").agg(
         F.max(F.col("change") == "state_changed").alias("_flip"), F.max(F.col("change") == "added").alias("_new")
     )
     named = aliases.select(F.col("first_seq").alias("seq"), F.lit(True).alias("_alias")).distinct()
-    first = first_cards(cards)
-    if known is not None:
-        first = first.join(known.select("entity_id"), "entity_id", "left_anti")
-    first = first.select("seq", F.lit(True).alias("_first"))
-    rows = cards.select("seq", "id").join(first, "seq", "left").join(marks, "seq", "left").join(named, "seq", "left")
+    told = _told(cards.select("seq", "id", "entity_id"), "entity_id", known)
+    rows = told.join(marks, "seq", "left").join(named, "seq", "left")
     outcome = (
-        F.when(F.col("_first"), "created")
+        F.when(F.col("made"), "created")
         .when(F.col("_flip"), "state_changed")
         .when(F.col("_new") | F.col("_alias"), "merged")
         .otherwise("bumped")
     )
-    return rows.select("seq", "id", outcome.alias("outcome"))
+    return rows.select("seq", "id", "arrival_id", outcome.alias("outcome"))
 
 
 def tick_summary(turns: DataFrame, outcomes: DataFrame) -> DataFrame:

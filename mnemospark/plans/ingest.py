@@ -62,7 +62,7 @@ def reconcile_arrivals(arrivals: DataFrame, chunk: int = TURN_CHUNK) -> Ingested
     outcomes = (
         reconcile.atomic_outcomes(atomic_in)
         .unionByName(reconcile.card_outcomes(cards_in, cards.changes, cards.aliases))
-        .unionByName(lore.select("seq", "id", F.lit("created").alias("outcome")))
+        .unionByName(lore.select("seq", "id", F.col("id").alias("arrival_id"), F.lit("created").alias("outcome")))
     )
     return Ingested(arrivals, atomic, cards, lore, outcomes)
 

@@ -1,4 +1,4 @@
-"""Composable writers of arriving assets. A sink takes (arrivals, batch_id) and returns (seq, id, outcome)."""
+"""Composable writers of arriving assets. A sink takes (arrivals, batch_id) and returns (seq, id, arrival_id, outcome)."""
 
 from __future__ import annotations
 
@@ -30,9 +30,9 @@ COMMON = _fields(
     ("tags", T.ArrayType(S)), ("viewpoint_holder", S), ("last_updated_turn", S), ("relevance", L),
 )
 MERGE = _fields(("first_seq", L), ("last_seq", L), ("last_turn", S), ("n_arrivals", L))
-EVIDENCE = _fields(("turn_id", S), ("quote", S), ("char_start", I), ("char_end", I), ("first_seq", L))
+EVIDENCE = _fields(("turn_id", S), ("quote", S), ("char_start", I), ("char_end", I), ("first_seq", L), ("copy", I))
 CARD = _fields(("entity_type", S), ("canonical_name", S), ("summary", S))
-OUTCOME = T.StructType(_fields(("seq", L), ("id", S), ("outcome", S)))
+OUTCOME = T.StructType(_fields(("seq", L), ("id", S), ("arrival_id", S), ("outcome", S)))
 STATE = _fields(
     ("entity_id", S), ("key", S), ("value_json", S), ("confidence", D), ("source_turn_id", S), ("turn_start", S),
     ("state_seq", L), ("state_place", I), ("first_seq", L),
@@ -58,7 +58,7 @@ class RoutedSink:
             F.when(F.col("allowed"), F.lit(True)).otherwise(F.raise_error(F.col("violation")).cast("boolean"))
         )
         self.log.write(checked, batch_id)
-        return self.log.batch(batch_id).select("seq", "id", F.lit("created").alias("outcome"))
+        return self.log.batch(batch_id).select("seq", "id", F.col("id").alias("arrival_id"), F.lit("created").alias("outcome"))
 
 
 class DedupSink:
@@ -129,7 +129,7 @@ class DedupSink:
         deduped = reconcile.dedup_rows(atomic)
         self.assets.write(deduped.assets, batch_id)
         self.evidence.write(deduped.evidence, batch_id)
-        known_keys = self.assets.read(before=batch_id).select("dedup_key").distinct()
+        known_keys = reconcile.first_ids(self.assets.read(before=batch_id), "dedup_key")
         told = reconcile.atomic_outcomes(atomic, known_keys)
 
         cards = arrivals.filter("target = 'entity'").select(
@@ -138,7 +138,7 @@ class DedupSink:
         self.cards.write(reconcile.card_rows(cards), batch_id)
         proof = F.col("provenance.raw_quote_anchors").alias("anchors")
         self.card_evidence.write(reconcile.evidence(cards.select("entity_id", "seq", proof), ["entity_id"]), batch_id)
-        known = self.cards.read(before=batch_id).select("entity_id").distinct()
+        known = reconcile.first_ids(self.cards.read(before=batch_id), "entity_id")
         old = self.aliases.read(before=batch_id).select("entity_id", "alias").distinct()
         fresh = settled(reconcile.card_aliases(cards).join(old, ["entity_id", "alias"], "left_anti"))
         self.aliases.write(fresh, batch_id)
@@ -168,7 +168,7 @@ class DedupSink:
 
         lore = arrivals.filter("target = 'vector'")
         self.lore.write(lore, batch_id)
-        self.outcomes.write(told.unionByName(lore.select("seq", "id", F.lit("created").alias("outcome"))), batch_id)
+        self.outcomes.write(told.unionByName(lore.select("seq", "id", F.col("id").alias("arrival_id"), F.lit("created").alias("outcome"))), batch_id)
         return self.outcomes.batch(batch_id)
 
     def touched(self, batch_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
