@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ALLOWED_NETWORKS, CONFIDENCE_SOURCES, KINDS, NETWORKS
+from .lineage import settled
 
 
 def _blank(c: Column) -> Column:
@@ -139,6 +142,69 @@ def network_matrix(assets: DataFrame) -> DataFrame:
     )
 
 
+def network_violations(kind: Column, network: Column) -> Column:
+    """The matrix of allowed (kind, network) pairs as an expression, for rows on their way to a store."""
+    permitted = F.create_map(*[c for k, v in ALLOWED_NETWORKS.items() for c in (F.lit(k), F.array(*[F.lit(n) for n in v]))])[kind]
+    text = F.concat(kind, F.lit(" is not allowed in the "), network, F.lit(" network — permitted: "), F.array_join(permitted, ", "))
+    return F.when(F.array_contains(permitted, network), F.array().cast("array<string>")).otherwise(
+        F.array(F.coalesce(text, F.lit("kind or network is not known")))
+    )
+
+
+def write_violations(rows: DataFrame, dimension: int | None = None) -> Column:
+    """All rules that a row must meet before a store takes it: its own, its provenance's, those of its network and kind.
+
+    Lore needs an embedding, of ``dimension`` numbers if that is given; a card needs an id, a type and a name, and
+    provenance for each attribute. Columns that ``rows`` does not have are not judged.
+    """
+    c, p = rows.__getitem__, rows["provenance"]
+    parts = [
+        asset_violations(rows),
+        network_violations(c("kind"), c("network")),
+        viewpoint_violations(c("network"), c("viewpoint_holder")),
+        provenance_violations(p),
+        anchor_violations(p["raw_quote_anchors"]),
+        temporal_violations(p["temporal_range"]),
+    ]
+    if "embedding" in rows.columns:
+        lore, size = c("kind") == "lore", F.coalesce(F.size(c("embedding")), F.lit(0))
+        other = F.lit(False) if dimension is None else (size > 0) & (size != dimension)
+        parts.append(
+            _violations((lore & (size < 1), "a lore snippet needs an embedding"), (lore & other, f"the embedding must have {dimension} numbers"))
+        )
+    if "entity_id" in rows.columns:
+        card = (c("kind") == "entity") & c("entity_id").isNotNull()
+        blank = _blank(c("entity_id")) | _blank(c("entity_type")) | _blank(c("canonical_name"))
+        parts += [entity_network_violations(c("kind"), c("network"), c("entity_id")), _violations((card & blank, "entity id, type and name must not be empty"))]
+        none = F.array().cast("array<string>")
+        claims = F.flatten(F.transform("attributes", lambda a: F.concat(provenance_violations(a["provenance"]), anchor_violations(a["provenance"]["raw_quote_anchors"]))))
+        keys = _violations((F.exists("attributes", lambda a: _blank(a["key"])), "attribute key must not be empty"))
+        parts.append(F.when(card, F.concat(F.coalesce(claims, none), keys)).otherwise(none))
+    return F.array_distinct(F.concat(*[F.coalesce(part, F.array().cast("array<string>")) for part in parts]))
+
+
+@dataclass
+class Checked:
+    """Rows that may be stored, and the others with their ``violations``. Both read one written table."""
+
+    accepted: DataFrame
+    quarantined: DataFrame
+
+
+def checked(rows: DataFrame, dimension: int | None = None) -> Checked:
+    """Judge rows by ``write_violations`` in one pass."""
+    judged = settled(rows.withColumn("violations", write_violations(rows, dimension)))
+    clean = F.size("violations") == 0
+    return Checked(judged.filter(clean).drop("violations"), judged.filter(~clean))
+
+
+def refused(rows: DataFrame, dimension: int | None = None) -> DataFrame:
+    """The same rows; a row that breaks a rule fails the job with its violations."""
+    broken = write_violations(rows, dimension)
+    fails = F.raise_error(F.concat(F.coalesce(F.col("id"), F.lit("?")), F.lit(": "), F.array_join(broken, "; "))).cast("boolean")
+    return rows.filter(F.when(F.size(broken) == 0, F.lit(True)).otherwise(fails))
+
+
 def route_target(kind: Column, entity_id: Column) -> Column:
     return (
         F.when(kind == "lore", "vector").when((kind == "entity") & entity_id.isNotNull(), "entity").otherwise("structured")

@@ -3,26 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import EMBED_MODEL
 from ..operators import extract, reconcile
-from ..operators.lineage import settled
-from ..operators.validate import route_target
+from ..operators.validate import checked, route_target
 
 
 @dataclass
 class Ingested:
-    """Tables that one ingest yields; ``outcomes`` has one row per arrival."""
+    """Tables that one ingest yields; ``outcomes`` has one row per stored arrival, ``quarantined`` the arrivals that break a rule."""
 
     arrivals: DataFrame
     atomic: reconcile.Deduped
     cards: reconcile.MergedCards
     lore: DataFrame
     outcomes: DataFrame
+    quarantined: DataFrame | None = None
 
 
 def arrivals_of(
@@ -67,9 +67,11 @@ def reconcile_arrivals(arrivals: DataFrame, chunk: int = TURN_CHUNK) -> Ingested
     return Ingested(arrivals, atomic, cards, lore, outcomes)
 
 
-def ingest_batch(turns: DataFrame, chunk: int = TURN_CHUNK, **options) -> Ingested:
+def ingest_batch(turns: DataFrame, chunk: int = TURN_CHUNK, dimension: int | None = None, **options) -> Ingested:
     """All of it for many sessions in one job; options as for ``arrivals_of``.
 
-    All results read the arrivals, so those are written once.
+    All results read the arrivals, so those are written once, with what is wrong with them: an arrival that breaks a rule is
+    quarantined and touches no store. ``dimension`` is that of the store's embeddings.
     """
-    return reconcile_arrivals(settled(arrivals_of(turns, **options)), chunk)
+    judged = checked(arrivals_of(turns, **options), dimension)
+    return replace(reconcile_arrivals(judged.accepted, chunk), quarantined=judged.quarantined)

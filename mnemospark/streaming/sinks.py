@@ -12,7 +12,7 @@ from ..functions.text import index_value, tokenize
 from ..operators import reconcile, retrieve
 from ..operators.lineage import settled
 from ..operators.ordering import first_per_key
-from ..operators.validate import network_matrix
+from ..operators.validate import checked, refused
 from ..schema import ATTRIBUTE, PROVENANCE
 from .deltas import DeltaLog
 
@@ -42,34 +42,36 @@ STATE = _fields(
 class RoutedSink:
     """Writes assets as they come, to the store their kind belongs to. Every outcome is ``created``.
 
-    A (kind, network) pair that is not allowed fails the batch.
+    A row that breaks a rule fails the batch. A later row replaces an earlier one of its id, as ``current`` reads them.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None):
         full = T.StructType(
             _fields(("seq", L)) + COMMON + _fields(("entity_id", S), *[(f.name, f.dataType) for f in CARD],
             ("aliases", T.ArrayType(S)), ("attributes", T.ArrayType(ATTRIBUTE)), ("embedding", T.ArrayType(D)), ("embedding_model", S), ("target", S))
         )
-        self.log = DeltaLog(spark, f"{path}/routed", full)
+        self.log, self.dimension = DeltaLog(spark, f"{path}/routed", full), dimension
 
     def __call__(self, arrivals: DataFrame, batch_id: int) -> DataFrame:
-        judged = network_matrix(arrivals)
-        checked = judged.filter(
-            F.when(F.col("allowed"), F.lit(True)).otherwise(F.raise_error(F.col("violation")).cast("boolean"))
-        )
-        self.log.write(checked, batch_id)
+        self.log.write(refused(arrivals, self.dimension), batch_id)
         return self.log.batch(batch_id).select("seq", "id", F.col("id").alias("arrival_id"), F.lit("created").alias("outcome"))
 
+    def current(self) -> DataFrame:
+        """The last row of every id and store."""
+        return first_per_key(self.log.read(), ["target", "id"], F.col("batch_id").desc(), F.col("seq").desc()).drop("batch_id")
+
 
 class DedupSink:
     """Reconciles arrivals with what is stored.
 
     Each batch stores its own merged rows and evidence. Since those merge
     associatively, the tables below are merges of all batches. Attribute
-    states are the exception: a batch folds on from the stored ones.
+    states are the exception: a batch folds on from the stored ones. Arrivals that break a rule go to ``quarantine`` with
+    what is wrong with them, and touch nothing else. ``dimension`` is that of the lore's embeddings.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None):
+        self.dimension = dimension
         log = lambda name, fields: DeltaLog(spark, f"{path}/{name}", T.StructType(fields))
         entity, owner = ("entity_id", S), _fields(("state_seq", L), ("state_place", I))
         self.assets = log("assets", _fields(("dedup_key", S)) + COMMON + MERGE)
@@ -82,6 +84,7 @@ class DedupSink:
         self.support = log("attribute_evidence", _fields(entity, ("key", S)) + owner + EVIDENCE)
         self.lore = log("lore", _fields(("seq", L)) + COMMON + _fields(("embedding", T.ArrayType(D)), ("embedding_model", S)))
         self.outcomes = log("outcomes", list(OUTCOME.fields))
+        self.quarantine = log("quarantine", _fields(("seq", L)) + COMMON + _fields(("violations", T.ArrayType(S))))
 
     # --- tables as of the last batch ---
 
@@ -123,8 +126,10 @@ class DedupSink:
 
     def __call__(self, arrivals: DataFrame, batch_id: int) -> DataFrame:
         # A dozen tables are written from the arrivals.
-        arrivals = settled(arrivals)
         names = [f.name for f in COMMON]
+        judged = checked(arrivals, self.dimension)
+        self.quarantine.write(judged.quarantined.select("seq", *names, "violations"), batch_id)
+        arrivals = judged.accepted
         atomic = arrivals.filter("target = 'structured'").select("seq", *names)
         deduped = reconcile.dedup_rows(atomic)
         self.assets.write(deduped.assets, batch_id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemospark.functions import vector
-from mnemospark.operators import extract, reconcile
+from mnemospark.operators import extract, reconcile, validate
 from mnemospark.plans import ingest
 from mnemospark.schema import ANCHOR
 
@@ -379,6 +379,47 @@ UNION ALL SELECT 'attribute', entity_id || ' "' || arg_max(entity_type, seq) ||
 UNION ALL SELECT 'card', entity_id || ' ' || arg_min(entity_type, seq), count(*) FROM en GROUP BY entity_id"""
 
 
+#: Arrivals of which some break a rule of the stores.
+CHECKED_SQL = """, a AS (SELECT CASE WHEN seq % 11 = 3 THEN 'opinion' ELSE kind END AS kind, network, content = '' AS empty, seq % 13 = 5 AS score, seq % 17 = 2 AS anchor FROM atomic),
+l AS (SELECT seq % 5 = 1 AS bare, seq % 5 <> 1 AND seq % 7 = 2 AS short FROM lore),
+v AS (SELECT kind, list_filter([CASE WHEN empty THEN 'content must not be empty' END,
+ CASE WHEN kind = 'opinion' AND network <> 'opinion' THEN 'opinion is not allowed in the ' || network || ' network — permitted: opinion' END,
+ CASE WHEN score THEN 'confidence_score must be in [0, 1]' END,
+ CASE WHEN anchor THEN 'At least one raw_quote_anchor must reference source_turn_id' END], lambda x: x IS NOT NULL) AS v FROM a
+ UNION ALL SELECT 'lore', CASE WHEN bare THEN ['a lore snippet needs an embedding'] WHEN short THEN ['the embedding must have 64 numbers'] ELSE [] END FROM l)
+SELECT 'accepted' AS part, kind AS name, count(*) AS n FROM v WHERE len(v) = 0 GROUP BY 2
+UNION ALL SELECT 'quarantined', kind, count(*) FROM v WHERE len(v) > 0 GROUP BY 2
+UNION ALL SELECT 'violation', x, count(*) FROM (SELECT unnest(v) AS x FROM v) GROUP BY 2"""
+
+
+@query("X6_checked_write", with_tables("atomic lore", CHECKED_SQL))
+def x6_checked(spark, sf):
+    p, seq = F.col("provenance"), F.col("seq")
+    atomic = atomic_assets(spark, sf).withColumn("embedding", F.lit(None).cast("array<double>"))
+    spoilt = p.withField("confidence_score", F.when(seq % 13 == 5, 1.5).otherwise(p["confidence_score"]))
+    spoilt = spoilt.withField("source_turn_id", F.when(seq % 17 == 2, "elsewhere").otherwise(p["source_turn_id"]))
+    atomic = atomic.withColumn("provenance", spoilt).withColumn("kind", F.when(seq % 11 == 3, "opinion").otherwise(F.col("kind")))
+    lore = bind(spark, sf, "lore").withColumn("kind", F.lit("lore"))
+    turn = F.col("source_turn_id")
+    anchor = F.struct(turn.alias("turn_id"), F.col("content").alias("quote"), F.lit(None).cast("int").alias("char_start"), F.lit(None).cast("int").alias("char_end"))
+    none = F.lit(None).cast("string")
+    temporal = F.struct(turn.alias("turn_start"), none.alias("turn_end"), none.alias("narrative_start"), none.alias("narrative_end"), F.lit(False).alias("narrative_always"))
+    provenance = F.struct(
+        "source_turn_id", F.lit(0.5).alias("confidence_score"), F.lit("inferred").alias("confidence_source"), F.array(anchor.cast(ANCHOR)).alias("raw_quote_anchors"),
+        temporal.alias("temporal_range"),
+    )
+    whole = F.col("embedding").cast("array<double>")
+    cut = F.when(seq % 5 == 1, None).when(seq % 7 == 2, F.slice(whole, 1, 3)).otherwise(whole)
+    lore = lore.select(
+        "seq", "id", "network", "kind", "content", provenance.alias("provenance"), F.array().cast("array<string>").alias("entity_ids"),
+        F.array("tag").alias("tags"), "viewpoint_holder", none.alias("last_updated_turn"), F.lit(0).cast("bigint").alias("relevance"), cut.alias("embedding"),
+    )
+    judged = validate.checked(atomic.unionByName(lore), dimension=64)
+    kinds = lambda df, part: df.groupBy(F.col("kind").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "name", "n")
+    told = judged.quarantined.select(F.explode("violations").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return kinds(judged.accepted, "accepted").unionAll(kinds(judged.quarantined, "quarantined")).unionAll(told.select(F.lit("violation"), "name", "n"))
+
+
 @query("X6_ingest_batch", with_tables("story", INGEST_SQL))
 def x6(spark, sf):
     out = ingest.ingest_batch(story(spark, sf), extractor=extract.pattern_extractor(0.2), skepticism=0.5, embedder=vector.hash_embedder())
