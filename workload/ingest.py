@@ -392,7 +392,7 @@ UNION ALL SELECT 'quarantined', kind, count(*) FROM v WHERE len(v) > 0 GROUP BY
 UNION ALL SELECT 'violation', x, count(*) FROM (SELECT unnest(v) AS x FROM v) GROUP BY 2"""
 
 
-@query("X6_checked_write", with_tables("atomic lore", CHECKED_SQL))
+@query("X14_checked_write", with_tables("atomic lore", CHECKED_SQL))
 def x6_checked(spark, sf):
     p, seq = F.col("provenance"), F.col("seq")
     atomic = atomic_assets(spark, sf).withColumn("embedding", F.lit(None).cast("array<double>"))
