@@ -7,6 +7,7 @@ features of its format and context, and a threshold calibrated on rows that were
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import warnings
@@ -90,12 +91,18 @@ GENERATORS = (
 )
 
 
+_GROUP = re.compile(r"[0-9A-Za-z]+")
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """What the generators propose; spans may overlap each other and base spans."""
+    """What the generators propose. Each goes on after the first group of what it found, so spans of one kind overlap too."""
     out = []
     for kind, pattern, hint in GENERATORS:
-        if hint.search(text):
-            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
+        found = pattern.search(text) if hint.search(text) else None
+        while found:
+            out.append((kind, found.start(), found.end()))
+            group = _GROUP.search(text, found.start(), found.end())
+            found = pattern.search(text, group.end() if group else found.end())
     return out
 
 
@@ -279,7 +286,10 @@ def train(texts: list[str], precision: float = PRECISION) -> Trees | None:
 
 
 def all_spans(text: str, base: list[tuple[str, int, int]], trees: Trees | None) -> list[tuple[str, int, int]]:
-    """Base spans and the selected candidates that overlap no base span, nor a better candidate."""
+    """Base spans and the selected candidates that overlap no base span, nor a better candidate.
+
+    The more probable candidate is better, of equal ones the longer, then the earlier.
+    """
     proposed = candidates(text) if trees else []
     if not proposed:
         return base
@@ -290,11 +300,13 @@ def all_spans(text: str, base: list[tuple[str, int, int]], trees: Trees | None)
     if not proposed:
         return base
     p = trees.probability(np.array([features(text, *c) for c in proposed], np.float64))
-    chosen: list[tuple[str, int, int]] = []
-    for i in sorted(np.flatnonzero(p >= trees.threshold), key=lambda i: (proposed[i][1], -p[i])):
-        if not chosen or chosen[-1][2] <= proposed[i][1]:
-            chosen.append(proposed[i])
-    return sorted([*base, *chosen], key=lambda c: (c[1], KINDS.index(c[0]), c[2]))
+    likely = [(-p[i], proposed[i][1] - proposed[i][2], proposed[i][1], proposed[i]) for i in np.flatnonzero(p >= trees.threshold)]
+    chosen: list[tuple[int, int, str]] = []
+    for _, _, start, (kind, _, end) in sorted(likely):
+        at = bisect.bisect_left(chosen, (start,))
+        if (at == 0 or chosen[at - 1][1] <= start) and (at == len(chosen) or chosen[at][0] >= end):
+            chosen.insert(at, (start, end, kind))
+    return sorted([*base, *((k, s, e) for s, e, k in chosen)], key=lambda c: (c[1], KINDS.index(c[0]), c[2]))
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
