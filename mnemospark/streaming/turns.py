@@ -22,9 +22,10 @@ from .deltas import DeltaLog
 from .sinks import Sink
 
 
-def turn_source(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
-    """Turns from files that are added to a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def turn_source(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = 1) -> DataFrame:
+    """Turns from files that are added to a folder; without a number of files, all that are new are one batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
 
 
 class StreamGate:

@@ -26,3 +26,18 @@ def test_fold_hands_flat_columns_to_python(spark, monkeypatch):
     assert [r.change for r in got] == ["added"] + ["corroborated", "state_changed"] * 5 + ["corroborated"]
     nested = [f.name for schema in seen for f in schema if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]
     assert seen and not nested
+
+
+def test_stream_parts_are_batches_of_many_files(spark, tmp_path):
+    from mnemospark.streaming import turns
+    from workload import streams
+
+    df, batches = spark.range(0, 400, 1, 4).withColumn("part", F.when(F.col("id") < 10, 0).otherwise(2)), []
+
+    def write(batch, batch_id):
+        batches.append((batch_id, batch.count()))
+
+    streams.in_parts(df, F.col("part"), 3, str(tmp_path), lambda s: turns.run_batches(s, write, f"{tmp_path}/checkpoint"))
+    assert batches == [(0, 10), (1, 0), (2, 390)]
+    # The last part was written by four tasks, not by one.
+    assert len(list(tmp_path.glob("in/*.parquet"))) >= 6
