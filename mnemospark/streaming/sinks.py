@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import index_value, tokenize
 from ..operators import reconcile, retrieve
+from ..operators.extract import mention_key
 from ..operators.lineage import settled
 from ..operators.ordering import first_per_key
 from ..operators.validate import checked, refused
@@ -127,10 +128,12 @@ class DedupSink:
     def __call__(self, arrivals: DataFrame, batch_id: int) -> DataFrame:
         # A dozen tables are written from the arrivals.
         names = [f.name for f in COMMON]
-        judged = checked(arrivals, self.dimension)
+        # The signatures are written with the judged arrivals, as several of the tables are made by them.
+        arrivals = arrivals.drop("dedup_key")
+        judged = checked(arrivals.withColumn("dedup_key", mention_key(arrivals)), self.dimension)
         self.quarantine.write(judged.quarantined.select("seq", *names, "violations"), batch_id)
         arrivals = judged.accepted
-        atomic = arrivals.filter("target = 'structured'").select("seq", *names)
+        atomic = arrivals.filter("target = 'structured'").select("seq", *names, "dedup_key")
         deduped = reconcile.dedup_rows(atomic)
         self.assets.write(deduped.assets, batch_id)
         self.evidence.write(deduped.evidence, batch_id)
@@ -268,11 +271,13 @@ class SearchIndex:
         return live.select("name", "entity_id", "reg_seq")
 
     def search(self, queries: DataFrame, k: int = retrieve.CHANNEL_TOP_K) -> DataFrame:
-        wanted = retrieve.query_terms(queries)
-        live = self.current_postings().join(wanted.select("term").distinct(), "term", "left_semi")
-        df = live.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        totals = self.current_docs().agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")))
-        return retrieve.bm25_rank(live, df, wanted, totals.scalar(), k)
+        # As a struct a query's id may be NULL.
+        queries = queries.select(F.struct("query_id").alias("query_id"), "query")
+        wanted = retrieve.query_terms(queries).select("term").distinct()
+        live = settled(self.current_postings().select("term", "id", "doc_len", "tf").join(wanted, "term", "left_semi"))
+        whole = self.current_docs().agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("total")).first()
+        hits = retrieve.search_index(retrieve.index_of(live, whole.n, whole.total or 0), queries, k)
+        return hits.select("query_id.query_id", "id", "score", "rank")
 
 
 class IndexingSink:
