@@ -5,7 +5,7 @@ Mentions are (asset_id, entity_id, content), one row per entity an asset names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import listed
@@ -26,13 +26,8 @@ def cooccurrence_join(mentions: DataFrame, cards: DataFrame, block: int = BLOCK)
     blocks, and each with itself, are paired by themselves.
     """
     known = mentions.join(cards.select("entity_id").distinct(), "entity_id", "left_semi")
-    large = (
-        known.groupBy("asset_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > block)
-        .select("asset_id", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    )
-    placed = known.join(large, "asset_id", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    # Counted where an asset's mentions are: as a table of its own, the counts would read and deal out all mentions once more.
+    placed = known.withColumn("_blocks", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("asset_id")) / block).cast("int"))
     own = F.pmod(F.xxhash64("entity_id"), F.col("_blocks")).cast("int")
     cells = placed.select(
         "asset_id", "content", "entity_id", own.alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_o")
@@ -69,9 +64,12 @@ def graph_nodes(cards: DataFrame) -> DataFrame:
 
 
 def graph_neighbors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, neighbor, label, entity_type, reasons): both ends of each edge, the reasons in one line."""
-    text = F.array_join("reasons", " · ").alias("reasons")
-    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbor"), text).unionAll(
-        edges.select("dst", "src", text)
-    )
+    """(id, neighbor, label, entity_type, reasons): both ends of each edge, the reasons in one line.
+
+    Either end comes from the same row: as a union of two views of the edges, each view would make all edges anew, since the
+    join sends a filter of its own down either of them.
+    """
+    lines = edges.select("src", "dst", F.array_join("reasons", " · ").alias("reasons"))
+    end = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("neighbor"))
+    both = lines.select("reasons", F.explode(F.array(end("src", "dst"), end("dst", "src"))).alias("_e")).select("_e.id", "_e.neighbor", "reasons")
     return both.join(nodes.select(F.col("id").alias("neighbor"), "label", "entity_type"), "neighbor")
