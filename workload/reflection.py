@@ -102,7 +102,7 @@ SELECT id, round(CASE WHEN c > 0 THEN least(0.99, v1 + 0.1) ELSE v1 END, 6) AS c
 def x11(spark, sf):
     assets = memory_assets(spark, sf)
     opinions, _ = reflect.reflection_inputs(assets)
-    out = reflect.apply_effects(opinions, reflect.reflect(assets, written=False))
+    out = reflect.apply_effects(opinions, reflect.reflect(assets, written=False, alike="effect"))
     p = F.col("provenance")
     return out.select(
         "id", F.round(p["confidence_score"], 6).alias("confidence"), p["confidence_source"].alias("source"), "changed"
